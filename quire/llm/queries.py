@@ -2,10 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, vp_tree
+from quire.llm import ball_tree, packing, vp_tree
 from quire.sources import table
 
 
+def tokenizer_file(name="word_bpe_49k.json"):
+    """A public tokenizer's file on this machine; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_two_fit(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op4_ball_tree_topk(spark, sf_dir):
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -14,7 +25,7 @@ def op6_vp_tree_neighbours(spark, sf_dir):
     return vp_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op4_ball_tree_topk, op6_vp_tree_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op6_vp_tree_neighbours)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
