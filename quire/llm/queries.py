@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, packing, vp_tree
+from quire.llm import ball_tree, packing, quality, vp_tree
 from quire.sources import table
 
 
@@ -25,7 +25,14 @@ def op6_vp_tree_neighbours(spark, sf_dir):
     return vp_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op6_vp_tree_neighbours)}
+def op9_random_indexing_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, quality.learned())
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (~quality.learned()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op6_vp_tree_neighbours, op9_random_indexing_quality)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
