@@ -41,7 +41,7 @@ class Words:
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(words - self.known.keys())
+        new = list(words.difference(self.known))
         ends = [w[-1:] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else b"" for w in new]
         stems = list({w[:-1] if e else w for w, e in zip(new, ends, strict=True)} | {b".", b","})
         stems = [w for w in stems if w not in self.known]
