@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, packing, quality, vp_tree
+from quire.llm import ball_tree, jaccard, packing, quality, vp_tree
 from quire.sources import table
 
 
@@ -21,6 +21,10 @@ def op4_ball_tree_topk(spark, sf_dir):
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op6_vp_tree_neighbours(spark, sf_dir):
     return vp_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -32,7 +36,7 @@ def op9_random_indexing_quality(spark, sf_dir):
     return scored.select("doc_id", (~quality.learned()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op6_vp_tree_neighbours, op9_random_indexing_quality)}
+QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op9_random_indexing_quality)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
