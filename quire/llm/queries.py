@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, jaccard, packing, quality, vp_tree
+from quire.llm import ball_tree, jaccard, mixing, packing, quality, vp_tree
 from quire.sources import table
 
 
@@ -29,6 +29,13 @@ def op6_vp_tree_neighbours(spark, sf_dir):
     return vp_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_flow_mix(spark, sf_dir):
+    taken, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
+    own = taken.withColumn("source", F.element_at("pattern", 1))
+    # A null source is a source too.
+    return own.join(sources, own["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_random_indexing_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, quality.learned())
@@ -36,7 +43,7 @@ def op9_random_indexing_quality(spark, sf_dir):
     return scored.select("doc_id", (~quality.learned()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op9_random_indexing_quality)}
+QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op8_flow_mix, op9_random_indexing_quality)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
