@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, jaccard, mixing, packing, quality, vp_tree
+from quire.llm import ball_tree, html_text, jaccard, mixing, packing, quality, vp_tree
 from quire.sources import table
 
 
@@ -43,7 +43,12 @@ def op9_random_indexing_quality(spark, sf_dir):
     return scored.select("doc_id", (~quality.learned()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op8_flow_mix, op9_random_indexing_quality)}
+def op10_max_subsequence_html(spark, sf_dir):
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
