@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, html_text, jaccard, mixing, packing, quality, vp_tree
+from quire.llm import ball_tree, html_text, jaccard, lattice, mixing, packing, quality, vp_tree
 from quire.sources import table
 
 
@@ -29,6 +29,11 @@ def op6_vp_tree_neighbours(spark, sf_dir):
     return vp_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_subword_lattice(spark, sf_dir):
+    train = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    return lattice.score(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), train)
+
+
 def op8_flow_mix(spark, sf_dir):
     taken, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     own = taken.withColumn("source", F.element_at("pattern", 1))
@@ -48,7 +53,7 @@ def op10_max_subsequence_html(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
+QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
