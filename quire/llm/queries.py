@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, html_text, jaccard, lattice, mixing, packing, quality, vp_tree
+from quire.llm import ball_tree, html_text, jaccard, lattice, mixing, packing, pii, quality, vp_tree
+from quire.llm.common import stored
 from quire.sources import table
 
 
@@ -13,6 +14,13 @@ def tokenizer_file(name="word_bpe_49k.json"):
     return public_tokenizers.path(name)
 
 
+def op1_weak_supervision_pii(spark, sf_dir):
+    found = stored(pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text"))
+    found = found.withColumn("all", pii.accepted(pii.fit(found), F.col("base"), F.col("candidates"), 0.5))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("all")).alias("spans"))
+
+
 def op2_best_two_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -53,7 +61,7 @@ def op10_max_subsequence_html(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
