@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut, stored
 
 #: Words and frequent n-grams that a Python worker holds at most, and n-grams that it counts at once.
-REMEMBERED, FREQUENT, COUNTED = 400_000, 200_000, 4_000_000
+REMEMBERED, FREQUENT, COUNTED = 400_000, 1_000_000, 4_000_000
 #: An n-gram is frequent if it is counted so often; n-grams shared by more groups than LARGE are first joined with one group.
-OFTEN, LARGE = 8, 16
+OFTEN, LARGE = 4, 16
 #: Bits of the filter that tells which documents' sets are to be compared; of fixed size, a fuller one lets more pass.
 FILTER_BITS = 1 << 24
 _HASH: dict[bytes, int] = {}
@@ -192,18 +192,26 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     nodes = cut(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("g").alias("g")))
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("members"))
 
-    posts = rows.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("s"), "g", "n")
+    near = lambda a, b: (a * of >= b * parts) & (b * of >= a * parts)
+    rest = lambda m: need(m, parts, of) - 1  # noqa: E731  what isn't in the prefix
+    # Of two linked sets' prefixes so many n-grams are common; the first common one has so many places from it on in both.
+    least = lambda a, b, x, y: need(a + b, parts, parts + of) - F.greatest(rest(x), rest(y))
+    posts = rows.where(F.col("prefix").isNotNull()).select("g", "n", F.posexplode("prefix").alias("at", "s"))
+    posts = posts.select("s", "g", "n", (F.col("n") - rest(F.col("n")) - F.col("at")).cast("int").alias("left"))
     shared = posts.groupBy("s").agg(F.min("g").alias("pivot"), F.max("g").alias("last"), F.count("*").alias("k")).where(F.col("pivot") != F.col("last"))
     met = stored(posts.join(shared.drop("last"), "s").dropDuplicates(["s", "g"]))
+    left, right = (met.select("s", F.col("g").alias(f"g{x}")) for x in "ab")
 
-    near = lambda a, b: (a * of >= b * parts) & (b * of >= a * parts)
-    rest = lambda m: need(m, parts, of) - 1  # noqa: E731  what isn't in the prefix
-    enough = lambda c, a, b: c + F.greatest(rest(a), rest(b)) >= need(a + b, parts, parts + of)
+    def enough(pairs: DataFrame) -> DataFrame:
+        """The pairs (ga, gb, na, nb) of groups whose prefixes have enough in common."""
+        common = cut(pairs).join(left, "ga").join(right, ["gb", "s"]).groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("c"))
+        return common.where(F.col("c") >= least(*(F.col(c) for c in ("na", "nb", "na", "nb")))).select("ga", "gb")
 
     # Where many groups meet, each with the one made most of frequent n-grams; then the members of a group with its first.
-    hubs = met.where((F.col("k") > LARGE) & (F.col("g") != F.col("pivot"))).select(F.col("g").alias("ga"), F.col("pivot").alias("gb")).distinct()
-    left, right = (met.select("s", F.col("g").alias(f"g{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    hubs = hubs.join(left, "ga").join(right, ["gb", "s"]).groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("c")).where(near(F.col("na"), F.col("nb")) & enough(F.col("c"), F.col("na"), F.col("nb")))
+    hubs = met.where((F.col("k") > LARGE) & (F.col("g") != F.col("pivot"))).groupBy(F.col("g").alias("ga"), F.col("pivot").alias("gb")).agg(F.max("left").alias("left"), F.first("n").alias("na"))
+    sizes = nodes.groupBy(F.col("g").alias("gb")).agg(F.first("n").alias("nb"))
+    na, nb = F.col("na"), F.col("nb")
+    hubs = enough(hubs.join(sizes, "gb").where(near(na, nb) & (F.col("left") >= least(na, nb, na, nb))).drop("left"))
     of_a = nodes.select(F.col("g").alias("ga"), F.col("node").alias("a"))
     first = hubs.join(of_a, "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
     own = nodes.join(heads.where("members > 1"), "g").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -213,19 +221,20 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     # Then groups of different classes: first classes that meet, then their groups. A group that spans classes stands for itself.
     classes = cut(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     spans = classes.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.abs(F.col("g"))).alias("comp"))
-    of_class = met.select("s", "g", "n").join(spans, "g")
+    of_class = met.select("s", "g", "n", "left").join(spans, "g")
     mixed = of_class.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
     of_class = cut(of_class.join(mixed, "s"))
-    ranges = of_class.groupBy("s", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    ra, rb = (ranges.select("s", *(F.col(c).alias(f"{c}{x}") for c in ("comp", "lo", "hi"))) for x in "ab")
-    meet = ra.join(rb, "s").where((F.col("compa") < F.col("compb")) & (F.col("hia") * of >= F.col("lob") * parts) & (F.col("hib") * of >= F.col("loa") * parts))
-    ca, cb = (of_class.select("s", *(F.col(c).alias(f"{c}{x}") for c in ("comp", "g", "n"))) for x in "ab")
-    pairs = meet.select("s", "compa", "compb").join(ca, ["s", "compa"]).join(cb, ["s", "compb"]).where(near(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("c")).where(enough(F.col("c"), F.col("na"), F.col("nb"))).select("ga", "gb")
-    na, nb = (classes.select(F.col("g").alias(f"g{x}"), F.col("node").alias(x), F.col("comp").alias(f"comp{x}")) for x in "ab")
-    across = pairs.join(na, "ga").join(nb, "gb").where("compa <> compb").select("a", "b")
+    ranges = of_class.groupBy("s", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("left").alias("left"))
+    ra, rb = (ranges.select("s", *(F.col(c).alias(f"{c}{x}") for c in ("comp", "lo", "hi", "left"))) for x in "ab")
+    may = (F.col("hia") * of >= F.col("lob") * parts) & (F.col("hib") * of >= F.col("loa") * parts) & (F.least("lefta", "leftb") >= least(*(F.col(c) for c in ("loa", "lob", "hia", "hib"))))
+    meet = ra.join(rb, "s").where((F.col("compa") < F.col("compb")) & may)
+    ca, cb = (of_class.select("s", *(F.col(c).alias(f"{c}{x}") for c in ("comp", "g", "n", "left"))) for x in "ab")
+    pairs = meet.select("s", "compa", "compb").join(ca, ["s", "compa"]).join(cb, ["s", "compb"]).where(near(na, nb) & (F.least("lefta", "leftb") >= least(na, nb, na, nb)))
+    pairs = enough(pairs.select("ga", "gb", "na", "nb").distinct())
+    own_a, own_b = (classes.select(F.col("g").alias(f"g{x}"), F.col("node").alias(x), F.col("comp").alias(f"comp{x}")) for x in "ab")
+    across = pairs.join(own_a, "ga").join(own_b, "gb").where("compa <> compb").select("a", "b")
     torn = spans.where("comp < 0").select("g")
-    within = na.join(torn.withColumnRenamed("g", "ga"), "ga", "left_semi").join(nb.withColumnRenamed("gb", "ga"), "ga").where("compa < compb").select("a", "b")
+    within = own_a.join(torn.withColumnRenamed("g", "ga"), "ga", "left_semi").join(own_b.withColumnRenamed("gb", "ga"), "ga").where("compa < compb").select("a", "b")
     more = verified(across.union(within).distinct(), nodes, docs, doc_id, text, n, parts, of)
 
     links = links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))).union(more)
