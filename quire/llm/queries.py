@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, html_text, jaccard, lattice, mixing, packing, pii, quality, vp_tree
+from quire.llm import ball_tree, html_text, jaccard, lattice, mixing, packing, pii, quality, toxicity, vp_tree
 from quire.llm.common import stored
 from quire.sources import table
 
@@ -25,6 +25,17 @@ def op2_best_two_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_chain_toxicity(spark, sf_dir):
+    """Categories: toxic in each language of the corpus, then toxic in any."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    languages = ("en", "de", "fr", "es")
+    known = labels.join(docs.select("doc_id", "lang"), "doc_id")
+    known = known.withColumns({f"toxic_{x}": F.col("toxic") * (F.col("lang") == x).cast("int") for x in languages})
+    chain = toxicity.fit(docs, known, (*(f"toxic_{x}" for x in languages), "toxic"), quality.learned())
+    scored = toxicity.score(docs.select("doc_id", "text"), chain)
+    return scored.select("doc_id", (~quality.learned()).alias("held_out"), *(f"p_toxic_{x}" for x in languages), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_ball_tree_topk(spark, sf_dir):
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -61,7 +72,7 @@ def op10_max_subsequence_html(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op3_chain_toxicity, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
 
 ORACLE_SQL = {
     "op4_ball_tree_topk": """
