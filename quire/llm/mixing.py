@@ -134,3 +134,14 @@ def mix(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "t
     taken = rows.join(passes.select("pattern", "passes"), "pattern").join(extra, "row", "left")
     taken = taken.select("doc_id", "pattern", "size", (F.col("size") * (F.col("passes") + F.coalesce("extra", F.lit(0)))).alias("taken"), (F.col("passes") + F.coalesce("extra", F.lit(0))).alias("copies"))
     return taken, spark.createDataFrame(list(zip(names, sizes, wanted, strict=True)), "source string, source_size long, target double")
+
+
+def mixed(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; the options are those of mix().
+
+    Rows that share both id and size are all taken as often as the one of them that is taken most."""
+    taken, _ = mix(docs, sources, doc_id, text, **options)
+    id_, size, copies = (f"{c} in the mix" for c in ("id", "size", "copies"))
+    often = taken.groupBy(F.col("doc_id").alias(id_), F.col("size").alias(size)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.join(often, F.col(doc_id).eqNullSafe(F.col(id_)) & (word_count(F.col(text)) == F.col(size)))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

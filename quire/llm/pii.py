@@ -13,6 +13,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import stored
+
 BASE = ("email", "ip", "card", "phone")
 # Runs are taken whole (possessive), and begin where a run begins or a match has ended, so long runs cost no retries.
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -224,10 +226,11 @@ def masked(text: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
-def redact(docs: DataFrame, weights: dict[str, float], text: str = "text", least: float = 0.5) -> DataFrame:
-    """docs with its spans masked in the text; a null text stays null, other columns stay as they are."""
-    names = (f"base of {text}", f"candidates of {text}")
-    found = spans(docs, text, names)
-    whole = f"spans of {text}"
-    found = found.withColumn(whole, accepted(weights, F.col(names[0]), F.col(names[1]), least))
-    return found.withColumn(text, masked(F.col(text), F.col(whole))).select(*docs.columns)
+def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """docs with the spans found in a text masked there; a null text stays null, other columns stay as they are.
+
+    The spans are found once and stored beside the rows, as the classifier needs them before any is masked."""
+    base, candidates = f"base of {text}", f"candidates of {text}"
+    found = stored(spans(docs, text, (base, candidates)))
+    all_ = accepted(fit(found, candidates), F.col(base), F.col(candidates), least)
+    return found.withColumn(base, all_).withColumn(text, masked(F.col(text), F.col(base))).select(*docs.columns)
