@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut, stored
 
 #: Words and frequent n-grams that a Python worker holds at most, and n-grams that it counts at once.
-REMEMBERED, FREQUENT, COUNTED = 400_000, 1_000_000, 4_000_000
+REMEMBERED, FREQUENT, COUNTED = 200_000, 1_000_000, 2_000_000
 #: An n-gram is frequent if it is counted so often; n-grams shared by more groups than LARGE are first joined with one group.
 OFTEN, LARGE = 4, 16
 #: Bits of the filter that tells which documents' sets are to be compared; of fixed size, a fuller one lets more pass.
@@ -208,10 +208,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
         return common.where(F.col("c") >= least(*(F.col(c) for c in ("na", "nb", "na", "nb")))).select("ga", "gb")
 
     # Where many groups meet, each with the one made most of frequent n-grams; then the members of a group with its first.
-    hubs = met.where((F.col("k") > LARGE) & (F.col("g") != F.col("pivot"))).groupBy(F.col("g").alias("ga"), F.col("pivot").alias("gb")).agg(F.max("left").alias("left"), F.first("n").alias("na"))
+    # A group meets one such other, that which most of its n-grams name, so there are no more of these pairs than groups.
+    hubs = met.where((F.col("k") > LARGE) & (F.col("g") != F.col("pivot"))).groupBy(F.col("g").alias("ga"), F.col("pivot").alias("gb")).agg(F.max("left").alias("left"), F.first("n").alias("na"), F.count("*").alias("c"))
     sizes = nodes.groupBy(F.col("g").alias("gb")).agg(F.first("n").alias("nb"))
     na, nb = F.col("na"), F.col("nb")
-    hubs = enough(hubs.join(sizes, "gb").where(near(na, nb) & (F.col("left") >= least(na, nb, na, nb))).drop("left"))
+    hubs = hubs.join(sizes, "gb").where(near(na, nb) & (F.col("left") >= least(na, nb, na, nb)))
+    hubs = hubs.groupBy("ga").agg(F.max(F.struct("c", "gb", "na", "nb")).alias("best")).select("ga", "best.gb", "best.na", "best.nb")
+    hubs = enough(hubs)
     of_a = nodes.select(F.col("g").alias("ga"), F.col("node").alias("a"))
     first = hubs.join(of_a, "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
     own = nodes.join(heads.where("members > 1"), "g").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))

@@ -22,7 +22,7 @@ from quire.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a Python worker remembers; it starts anew when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Words:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Rows of the table of word vectors: letters first, then forms. Components of a vector, and how many of an index vector aren't 0.
 LETTERS, FORMS, DIM, ONES = 14336, 2048, 64, 4
 ROWS = LETTERS + FORMS
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _CORE = re.compile(rb"^([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", re.S)
 
 
