@@ -200,12 +200,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     posts = posts.select("s", "g", "n", (F.col("n") - rest(F.col("n")) - F.col("at")).cast("int").alias("left"))
     shared = posts.groupBy("s").agg(F.min("g").alias("pivot"), F.max("g").alias("last"), F.count("*").alias("k")).where(F.col("pivot") != F.col("last"))
     met = stored(posts.join(shared.drop("last"), "s").dropDuplicates(["s", "g"]))
-    left, right = (met.select("s", F.col("g").alias(f"g{x}")) for x in "ab")
+    prefix = stored(met.groupBy("g").agg(F.collect_list("s").alias("p")))
+    pa_, pb = (prefix.select(F.col("g").alias(f"g{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
 
     def enough(pairs: DataFrame) -> DataFrame:
         """The pairs (ga, gb, na, nb) of groups whose prefixes have enough in common."""
-        common = cut(pairs).join(left, "ga").join(right, ["gb", "s"]).groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("c"))
-        return common.where(F.col("c") >= least(*(F.col(c) for c in ("na", "nb", "na", "nb")))).select("ga", "gb")
+        common = cut(pairs).join(pa_, "ga").join(pb, "gb")
+        return common.where(F.size(F.array_intersect("pa", "pb")) >= least(*(F.col(c) for c in ("na", "nb", "na", "nb")))).select("ga", "gb")
 
     # Where many groups meet, each with the one made most of frequent n-grams; then the members of a group with its first.
     # A group meets one such other, that which most of its n-grams name, so there are no more of these pairs than groups.
