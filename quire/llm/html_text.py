@@ -29,19 +29,31 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*>"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>"""
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>"""
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_REST = re.compile(r"(?P<text>(?:(?!<!--).)+)(?P<tag>)?(?P<end>)?", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """Comments and raw elements, tags, texts. No tag begins after the last one ends, so what follows is text, unless a
+    comment or a raw element is still open there."""
+    end, last = page.rfind(">") + 1, None
+    for last in _TOKEN.finditer(page, 0, end):  # noqa: B007
+        yield last
+    open_ = last is not None and (last[0].startswith("<!--") and not last[0].endswith("-->") or last["raw"] and not re.search(rf"</{last['raw']}\s*>$", last[0], re.I))
+    if not open_ and (rest := _REST.match(page, end)):
+        yield rest
+
+
 def parts(page: str) -> Iterator[tuple[str, str, str]]:
     """("word", kind of element, text), ("tag", name, ""), ("block", "", "") where a block of text ends. Text of
     elements that never hold main text comes as kind "out", and their tags as "out ..."."""
     open_: list[tuple[str, bool]] = []
     out = 0
-    for m in _TOKEN.finditer(page):
+    for m in tokens(page):
         text, tag = m["text"], m["tag"]
         if text is not None:
             kind = "out" if out else next((t for t, _ in reversed(open_) if t not in INLINE), "body")
