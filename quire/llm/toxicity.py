@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hash values of features, how many features are kept at most, and how much each must tell. All are fixed, so models have a fixed size.
-SPACE, KEPT, LEAST = 1 << 20, 4096, 8.0
+SPACE, KEPT, LEAST = 1 << 20, 1024, 8.0
 BEGINNINGS = (3, 4, 5, 6)
 REMEMBERED = 400_000
 _WORD = re.compile(r"\w+")
@@ -112,7 +112,7 @@ def gain(with_: np.ndarray, other: np.ndarray, n_with: int, n_other: int) -> np.
     return np.where(with_ > expect, part(with_, expect) + part(other, total - expect), 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], learn: Column, doc_id: str = "doc_id", text: str = "text", most: int = 20_000, folds: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], learn: Column, doc_id: str = "doc_id", text: str = "text", most: int = 8_000, folds: int = 5) -> Chain:
     """The chain, from at most `most` labelled rows that `learn` selects, those whose ids have the least hashes.
 
     labels: a 0/1 column for each category; rows with other values in one are left out, of rows that repeat an id the
