@@ -6,22 +6,42 @@ from pyspark.sql import functions as F
 from quire.functions.text import hash64, words
 from quire.operators.running import running_sum
 
+#: Lots that the copies of one body are dealt to.
+LOTS = 64
+
 
 def body(text: Column | str) -> Column:
-    """The text after its first line."""
-    return F.regexp_replace(text, r"^[^\n]*\n?", "")
+    """The text after its first blank line, or the whole text where there is none."""
+    whole = F.col(text) if isinstance(text, str) else text
+    at = F.instr(whole, "\n\n")
+    return F.when(at > 0, whole.substr(at + 2, F.length(whole))).otherwise(whole)
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, sha, lot): the hash of each document's body, and which of the lots of its copies it is dealt to."""
+    sha = F.coalesce(F.sha2(body("text"), 256), F.lit("none"))
+    return docs.select("doc_id", sha.alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(LOTS)).alias("lot"))
+
+
+def copies(hashes: DataFrame) -> DataFrame:
+    """(doc_id, duplicate_of) of hashed documents. The first document of a hash is sent to the lots that its copies
+    lie in, so many copies of one don't meet in one task."""
+    least = hashes.groupBy("sha", "lot").agg(F.min("doc_id").alias("first"))
+    firsts = least.groupBy("sha").agg(F.min("first").alias("first"), F.collect_set("lot").alias("lots"))
+    both = hashes.join(firsts.select("sha", "first", F.explode("lots").alias("lot")), ["sha", "lot"])
+    return both.select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("duplicate_of"))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, duplicate_of): the first kept document with the same body, null for that one itself."""
-    first = F.min("doc_id").over(Window.partitionBy(F.sha2(body("text"), 256)))
-    return docs.withColumn("first", first).select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("duplicate_of"))
+    """(doc_id, duplicate_of): the first kept document with the same body, null for that one itself. Documents without
+    a text are copies of each other."""
+    return copies(hashed(docs))
 
 
 def verdicts(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """(doc_id, reason): the first of page score and duplicate; only documents that pass the first gate are remembered."""
-    gated = docs.join(scores, "doc_id", "left").withColumn("bad", F.coalesce(F.col("score") < 1, F.lit(False)))
-    good = duplicates(gated.where(~F.col("bad"))).select("doc_id", F.when(F.col("duplicate_of").isNotNull(), "duplicate").alias("reason"))
+    gated = hashed(docs).join(scores, "doc_id", "left").withColumn("bad", F.coalesce(F.col("score") < 1, F.lit(False)))
+    good = copies(gated.where(~F.col("bad"))).select("doc_id", F.when(F.col("duplicate_of").isNotNull(), "duplicate").alias("reason"))
     return good.union(gated.where("bad").select("doc_id", F.lit("page-score")))
 
 
