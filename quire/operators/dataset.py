@@ -8,6 +8,9 @@ from quire.operators.running import running_sum
 
 #: Lots that the copies of one body are dealt to.
 LOTS = 64
+#: Kinds of texts, in the order of their drafts.
+REPHRASED = ("rephrase_wiki", "rephrase_lecture", "rephrase_qa")
+KINDS = (*REPHRASED, "entigraph", "notation_variant", "exercise")
 
 
 def body(text: Column | str) -> Column:
@@ -73,12 +76,27 @@ def rarity(mentions: DataFrame, sections: DataFrame, low: float = 0.5, high: flo
     return sections.join(each, "section", "left").select("section", "heldout", F.coalesce(factor, F.lit(1.0)).alias("factor"))
 
 
-def section_plan(factors: DataFrame, rewrites: int = 3, questions: int = 2) -> DataFrame:
-    """Texts of three kinds in turn, an exercise from factor 1 on, questions by factor; held-out sections get questions only."""
+def section_plan(factors: DataFrame, seeds: DataFrame, passages: DataFrame, rewrites: int = 3, questions: int = 2) -> DataFrame:
+    """How many texts of each kind a section gets from each of its passages: three rephrasings in turn, an exercise
+    from factor 1 on, another notation for one section with a display formula in twenty. Texts on relations are one for
+    each, the rarest first, as many as there are rephrasings. Held-out sections get questions only.
+
+    seeds: (section, place); passages: (section, passages, formula)."""
     n = F.when(F.col("heldout"), 0).otherwise(F.round(rewrites * F.col("factor")).cast("long"))
     part = lambda k: F.floor((n + 2 - k) / 3)
     asked = F.when(F.col("heldout"), min(questions, 2)).otherwise(F.round(questions * F.col("factor")).cast("long"))
-    return factors.select("section", "heldout", "factor", *(part(k).cast("long").alias(c) for k, c in enumerate(("rephrase", "relations", "summary"))), (~F.col("heldout") & (F.col("factor") >= 1)).cast("long").alias("exercise"), asked.cast("long").alias("questions"))
+    picked = F.coalesce("formula", F.lit(False)) & (hash64(F.col("section").cast("string")) % 20 == 0)
+    given = {
+        **{kind: part(k) for k, kind in enumerate(REPHRASED)},
+        "entigraph": F.least(n, F.coalesce("seeded", F.lit(0))),
+        "notation_variant": ~F.col("heldout") & picked,
+        "exercise": ~F.col("heldout") & (F.col("factor") >= 1),
+        "questions": asked,
+    }
+    seeded = seeds.groupBy("section").agg(F.count("*").alias("seeded"))
+    rows = factors.join(seeded, "section", "left").join(passages.select("section", "passages", "formula"), "section", "left")
+    own = F.greatest(F.coalesce("passages", F.lit(1)), F.lit(1)).cast("long")
+    return rows.select("section", "heldout", "factor", own.alias("passages"), *(c.cast("long").alias(k) for k, c in given.items()))
 
 
 def capped_questions(plan: DataFrame, most: int) -> DataFrame:
@@ -98,18 +116,47 @@ def relation_seeds(relations: DataFrame, mentions: DataFrame, counts: DataFrame)
     return own.withColumn("place", F.row_number().over(by)).select("section", "from_id", "to_id", "type", "place")
 
 
-def plan_totals(plan: DataFrame) -> DataFrame:
-    kinds = ("rephrase", "relations", "summary", "exercise")
-    texts = sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))
-    return plan.agg(*(F.sum(k).alias(k) for k in kinds), F.sum("questions").alias("questions"), F.sum(2 * texts + 6 * F.col("questions")).alias("model_calls"))
+def texts_of(kind: str) -> Column:
+    """A plan's texts of one kind over all passages; those on relations are one for each relation."""
+    return F.col(kind) if kind == "entigraph" else F.col(kind) * F.col("passages")
+
+
+def plan_totals(plan: DataFrame, samples: int = 4) -> DataFrame:
+    texts = sum((texts_of(k) for k in KINDS[1:]), texts_of(KINDS[0]))
+    calls = F.sum(2 * texts + (samples + 2) * F.col("questions"))
+    return plan.agg(*(F.sum(texts_of(k)).alias(k) for k in KINDS), F.sum("questions").alias("questions"), calls.alias("model_calls"))
+
+
+def relation_passages(seeds: DataFrame, concepts: DataFrame, passages: DataFrame) -> DataFrame:
+    """seeds with the number of the first passage that names the most of a relation's two concepts, ignoring case.
+
+    concepts: (concept_id, name); passages: (section, bodies), bodies where a section has several."""
+    names = [concepts.select(F.col("concept_id").alias(c), F.lower("name").alias(f"name_{c}")) for c in ("from_id", "to_id")]
+    several = passages.where(F.size("bodies") > 1).select("section", F.transform("bodies", F.lower).alias("bodies"))
+    rows = seeds.join(names[0], "from_id", "left").join(names[1], "to_id", "left").join(several, "section", "left")
+    named = lambda b: sum((F.coalesce(F.contains(b, F.col(f"name_{c}")), F.lit(False)).cast("int") for c in ("from_id", "to_id")), F.lit(0))
+    found = F.transform("bodies", named)
+    best = F.array_position(found, F.array_max(found))
+    return rows.select(*seeds.columns, F.coalesce(best, F.lit(1)).cast("long").alias("passage"))
+
 
+def drafts(plan: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row for each text that a plan asks for: kind by kind each passage's versions, then the relations, numbered
+    in a section and, from 1 as in the text's id, in a kind. from_id, to_id and type tell the relation.
 
-def drafts(plan: DataFrame) -> DataFrame:
-    """(section, kind, version, draft): one row for each text that a plan asks for, numbered in a section."""
-    kinds = ("rephrase", "relations", "summary", "exercise")
-    long = plan.select("section", F.posexplode(F.array(*kinds)).alias("at", "n")).where("n > 0")
-    each = long.select("section", "at", F.element_at(F.array(*map(F.lit, kinds)), F.col("at") + 1).alias("kind"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("version"))
-    return each.select("section", "kind", "version", F.row_number().over(Window.partitionBy("section").orderBy("at", "version")).alias("draft"))
+    seeds: (section, from_id, to_id, type, place, passage)."""
+    kinds = [k for k in KINDS if k != "entigraph"]
+    long = plan.select("section", "passages", F.posexplode(F.array(*kinds)).alias("at", "n")).where("n > 0")
+    upto = lambda c: F.explode(F.sequence(F.lit(1).cast("long"), F.col(c)))
+    each = long.select("section", "at", "n", F.element_at(F.array(*map(F.lit, kinds)), F.col("at") + 1).alias("kind"), upto("passages").alias("passage"))
+    each = each.select("section", "at", "kind", "passage", "n", upto("n").alias("version"))
+    each = each.withColumn("number", (F.col("passage") - 1) * F.col("n") + F.col("version")).drop("n")
+    told = seeds.join(plan.select("section", "entigraph"), "section").where(F.col("place") <= F.col("entigraph"))
+    told = told.select("section", F.lit(len(kinds)).alias("at"), F.lit("entigraph").alias("kind"), "passage", F.lit(1).alias("version"), F.col("place").alias("number"), "from_id", "to_id", "type")
+    both = each.unionByName(told, allowMissingColumns=True)
+    name = F.concat_ws(":", "section", "kind", "number")
+    draft = F.row_number().over(Window.partitionBy("section").orderBy("at", "number"))
+    return both.select("section", "kind", "passage", "version", "number", name.alias("id"), "from_id", "to_id", "type", draft.alias("draft"))
 
 
 def plain(value: Column | str) -> Column:

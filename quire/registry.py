@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import catalogue, changes, dataset, graph, retrieval, vectors
+from quire.operators import catalogue, changes, dataset, graph, passages, retrieval, vectors
 from quire.plans import caps
 from quire.sources import table
 from quire.sources.library import SQL, library
@@ -415,14 +415,30 @@ def latest_jobs(spark, sf_dir):
     return catalogue.latest_jobs(job_events(spark, sf_dir)).drop("ts")
 
 
-def planned(lib):
-    return dataset.section_plan(factors(lib)).withColumn("factor", F.round("factor", 9))
+def sections(lib):
+    return lib.document.select(F.col("doc_id").alias("section"), (F.col("doc_id") % 10 == 0).alias("heldout"))
+
+
+def seeds(lib):
+    """The relations that texts of training sections are made on: those that an item of a training section states."""
+    training = sections(lib).where(~F.col("heldout")).select("section")
+    own = lib.item.join(training, F.col("doc_id") == F.col("section")).select("item_id")
+    m = mentioned(lib)
+    counts = m.groupBy("concept_id").agg(F.sum("n").alias("count"))
+    return dataset.relation_seeds(lib.relation.join(own, "item_id", "left_semi"), m.join(training, "section", "left_semi"), counts)
+
+
+def section_passages(spark, sf_dir):
+    return passages.passages(docs(spark, sf_dir).select(F.col("doc_id").alias("section"), "text"))
+
+
+def planned(lib, spark, sf_dir):
+    return dataset.section_plan(factors(lib), seeds(lib), section_passages(spark, sf_dir))
 
 
 @query()
-def cap_texts(lib, *_):
-    sized = planned(lib).withColumns({"place": F.col("section"), "passages": F.col("section") % 4 + 1})
-    return caps.cap_texts(sized, ("rephrase", "relations", "exercise"), 2000)
+def cap_texts(lib, spark, sf_dir):
+    return caps.keep_texts(planned(lib, spark, sf_dir), 2000)
 
 
 # Texts.
@@ -511,7 +527,7 @@ def mentioned(lib):
 
 
 def factors(lib):
-    return dataset.rarity(mentioned(lib), lib.document.select(F.col("doc_id").alias("section"), (F.col("doc_id") % 10 == 0).alias("heldout")))
+    return dataset.rarity(mentioned(lib), sections(lib))
 
 
 @query(RARITY + "SELECT section, heldout, round(factor, 9) AS factor FROM factors")
@@ -520,25 +536,26 @@ def rarity_factor(lib, *_):
 
 
 @query(RARITY + "SELECT * FROM planned")
-def section_plan(lib, *_):
-    return planned(lib)
+def section_plan(lib, spark, sf_dir):
+    return planned(lib, spark, sf_dir).withColumn("factor", F.round("factor", 9))
 
 
 @query(RARITY + "SELECT section, greatest(0, least(questions, 500 - (sum(questions) OVER (ORDER BY factor DESC, substr(sha256(CAST(section AS VARCHAR)), 1, 16), section) - questions)))::BIGINT AS questions FROM planned")
-def cap_questions(lib, *_):
-    return dataset.capped_questions(planned(lib), 500)
+def cap_questions(lib, spark, sf_dir):
+    return dataset.capped_questions(planned(lib, spark, sf_dir).select("section", F.round("factor", 9).alias("factor"), "questions"), 500)
 
 
 @query(RARITY + "SELECT " + ", ".join(f"sum({k})::BIGINT AS {k}" for k in ("rephrase", "relations", "summary", "exercise", "questions")) + ", sum(2 * (rephrase + relations + summary + exercise) + 6 * questions)::BIGINT AS model_calls FROM planned")
-def plan_totals(lib, *_):
-    return dataset.plan_totals(dataset.section_plan(factors(lib)))
+def plan_totals(lib, spark, sf_dir):
+    return dataset.plan_totals(planned(lib, spark, sf_dir))
 
 
 @query(RARITY + """, long AS (SELECT section, unnest([0, 1, 2, 3]) AS pos, unnest(['rephrase', 'relations', 'summary', 'exercise']) AS kind, unnest([rephrase, relations, summary, exercise]) AS n FROM planned),
     each AS (SELECT section, pos, kind, unnest(range(1, n + 1)) AS version FROM long)
     SELECT section, kind, version, CAST(row_number() OVER (PARTITION BY section ORDER BY pos, version) AS INTEGER) AS draft FROM each""")
-def draft_ids(lib, *_):
-    return dataset.drafts(dataset.section_plan(factors(lib)))
+def draft_ids(lib, spark, sf_dir):
+    placed = dataset.relation_passages(seeds(lib), lib.concept.select("concept_id", "name"), section_passages(spark, sf_dir))
+    return dataset.drafts(planned(lib, spark, sf_dir), placed)
 
 
 @query(RARITY + """SELECT a.section, from_id, to_id, type, CAST(row_number() OVER (PARTITION BY a.section ORDER BY least(ca.total, cb.total), from_id, to_id, type) AS INTEGER) AS place
