@@ -115,12 +115,15 @@ def related_concepts(lib: Library, concepts: list[int]) -> DataFrame:
     return near.join(lib.concept, "concept_id").select("concept_id", "normalised_name").orderBy("normalised_name", "concept_id")
 
 
-def relations_among(lib: Library, concepts: list[int]) -> DataFrame:
-    return lib.relation.where(F.col("from_id").isin(concepts) & F.col("to_id").isin(concepts)).orderBy("from_id", "to_id", "type")
+def relations_among(lib: Library, concepts: DataFrame) -> DataFrame:
+    """Relations with both ends in concepts (concept_id)."""
+    ends = [concepts.select(F.col("concept_id").alias(c)) for c in ("from_id", "to_id")]
+    return lib.relation.join(ends[0], "from_id", "left_semi").join(ends[1], "to_id", "left_semi").select(*lib.relation.columns).orderBy("from_id", "to_id", "type")
 
 
-def mentions_between(lib: Library, items: list[int], concepts: list[int]) -> DataFrame:
-    return lib.mention.where(F.col("item_id").isin(items) & F.col("concept_id").isin(concepts)).orderBy("item_id", "concept_id")
+def mentions_between(lib: Library, items: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Mentions of concepts (concept_id) in items (item_id)."""
+    return lib.mention.join(items, "item_id", "left_semi").join(concepts, "concept_id", "left_semi").select(*lib.mention.columns).orderBy("item_id", "concept_id")
 
 
 def touching(concepts: Column, direction: str) -> Column:

@@ -124,12 +124,12 @@ def related_concepts(lib, *_):
 
 @query("SELECT * FROM relation WHERE from_id < 100 AND to_id < 100")
 def relations_among(lib, *_):
-    return graph.relations_among(lib, list(range(100)))
+    return graph.relations_among(lib, lib.mention.select("concept_id"))
 
 
 @query("SELECT * FROM mention WHERE item_id < 400 AND concept_id < 300")
 def mentions_between(lib, *_):
-    return graph.mentions_between(lib, list(range(400)), list(range(300)))
+    return graph.mentions_between(lib, lib.item.where("kind = 'chunk'").select("item_id"), lib.relation.select(F.col("from_id").alias("concept_id")))
 
 
 @query(f"SELECT * FROM relation WHERE from_id IN {IN_IDS}")
@@ -207,7 +207,7 @@ def vector_topk(spark, sf_dir):
 
 @query(COSINE + "SELECT item_id, score FROM s WHERE item_id % 3 = 0", model=False)
 def vector_rank(spark, sf_dir):
-    return searched(spark, sf_dir).where("item_id % 3 = 0").select("item_id", "score").orderBy(F.desc("score"), "item_id")
+    return searched(spark, sf_dir).select("item_id", "score").orderBy(F.desc("score"), "item_id")
 
 
 @query(COSINE + "SELECT item_id, score FROM s WHERE item_id <> 7 ORDER BY score DESC, item_id LIMIT 8", model=False)
@@ -251,9 +251,17 @@ NEAREST = """WITH v AS (SELECT vec_id AS item_id, list_transform(embedding, lamb
 """
 
 
+def label_vectors(v):
+    """(concept_id, vector): a concept for each label, with the mean of its vectors."""
+    at = v.where("vector IS NOT NULL").select("doc_id", F.posexplode("vector").alias("at", "x"))
+    means = at.groupBy("doc_id", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])
+    return means.groupBy(F.col("doc_id").alias("concept_id")).agg(own.alias("vector"))
+
+
 def resolved(spark, sf_dir):
     v = item_vectors(spark, sf_dir)
-    return vectors.nearest_concept(v.where("item_id % 10 <> 0"), v.where("item_id % 10 = 0").select(F.col("item_id").alias("concept_id"), "vector"))
+    return vectors.nearest_concept(v, label_vectors(v))
 
 
 @query(NEAREST + "SELECT * FROM n", model=False)
@@ -298,7 +306,7 @@ CITES = ", kept AS (SELECT item_id, item_id AS place FROM item WHERE kind = 'chu
 @query(CITES + """SELECT i.item_id, i.label, min(w.place) AS by FROM item i JOIN (SELECT doc_id, place, unnest(cites) AS label FROM item JOIN kept USING (item_id)) w ON i.doc_id = w.doc_id AND i.label = w.label
     WHERE i.item_id NOT IN (SELECT item_id FROM kept) GROUP BY ALL""")
 def cited_pull_in(lib, *_):
-    kept = lib.item.where("kind = 'chunk' AND item_id < 4000").select("item_id", F.col("item_id").alias("place"))
+    kept = lib.item.where("kind = 'chunk'").select("item_id", F.col("item_id").alias("place"))
     return retrieval.cited(lib.item, kept)
 
 

@@ -3,12 +3,14 @@
 import hashlib
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire import registry
 from quire.operators import dataset, passages
 from quire.plans import caps
 from quire.sources import table
+from quire.sources.library import library
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -133,3 +135,35 @@ def test_relations_of_training_items_seed_texts(spark):
     plan = registry.QUERIES["section_plan"](spark, SF).where("entigraph > 0")
     assert plan.count() > 0
     assert plan.where("heldout").count() == 0
+
+
+def test_graph_reads_and_citations_take_whole_tables(spark):
+    lib = library(spark, SF)
+    chunks = {r.item_id for r in lib.item.where("kind = 'chunk'").collect()}
+    mentions, relations = lib.mention.collect(), lib.relation.collect()
+    named, ends = {m.concept_id for m in mentions}, {r.from_id for r in relations}
+    assert values(registry.QUERIES["relations_among"](spark, SF)) == sorted((tuple(r) for r in relations if r.from_id in named and r.to_id in named), key=repr)
+    assert values(registry.QUERIES["mentions_between"](spark, SF)) == sorted((tuple(m) for m in mentions if m.item_id in chunks and m.concept_id in ends), key=repr)
+    items, cites = lib.item.collect(), {}
+    for i in items:
+        for label in i.cites if i.item_id in chunks else ():
+            cites[i.doc_id, label] = min(i.item_id, cites.get((i.doc_id, label), i.item_id))
+    want = [(i.item_id, i.label, cites[i.doc_id, i.label]) for i in items if i.item_id not in chunks and (i.doc_id, i.label) in cites]
+    assert values(registry.QUERIES["cited_pull_in"](spark, SF)) == sorted(want, key=repr)
+
+
+def test_all_vectors_are_ranked_and_resolved(spark):
+    rows = table(spark, SF, "embeddings").select("vec_id", "label", "embedding").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ranked = dict(values(registry.QUERIES["vector_rank"](spark, SF)))
+    assert sorted(ranked) == sorted(ids)
+    assert np.allclose([ranked[i] for i in ids], unit @ unit[ids.index(7)], atol=1e-6)
+    labels = sorted({r.label for r in rows})
+    means = np.array([x[[r.label == k for r in rows]].mean(axis=0) for k in labels])
+    scores = unit @ (means / np.linalg.norm(means, axis=1, keepdims=True)).T
+    got = {r.item_id: r for r in registry.QUERIES["concept_nearest"](spark, SF).collect()}
+    assert sorted(got) == sorted(ids)
+    assert np.allclose([got[i].score for i in ids], scores.max(axis=1), atol=1e-6)
+    assert np.allclose([scores[n, labels.index(got[i].concept_id)] for n, i in enumerate(ids)], scores.max(axis=1), atol=2e-6)
+    assert sorted(r.item_id for r in registry.QUERIES["resolve_rule"](spark, SF).collect()) == sorted(ids)
