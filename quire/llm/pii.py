@@ -26,12 +26,12 @@ PATTERNS = {
 }
 #: Further kinds, found as candidates only. The value follows what a lookbehind can hold, so a match is the span.
 CANDIDATES = {
-    "secret": r"""(?<=(?i:token|secret|password|passwd|apikey|api_key|access_key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_+/.=-]{8,128}+""",
+    "secret": r"""(?<=(?i:token|secret|password|passwd|apikey|api_key|access_key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_+/.=-]{8,}+""",
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\s?[\[({]\s?at\s?[\])}]\s?[a-z0-9-]{1,63}+(?:\s?[\[({]\s?dot\s?[\])}]\s?[a-z0-9-]{1,63}+)+",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña)\.?\x20\p{Lu}\p{Ll}{1,20}(?:\x20\p{Lu}\p{Ll}{1,20})?",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña)\.?\x20\p{Lu}\p{Ll}{1,}+(?:\x20\p{Lu}\p{Ll}{1,}+)?",
 }
 # Words that stand near personal data of a kind, in four languages, and words that stand near other numbers.
 NEAR = {
