@@ -25,12 +25,16 @@ def op2_best_two_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def toxic_by_language(known, languages):
+    """known with toxic_<language> for each; a document without a language is toxic in none of them."""
+    return known.withColumns({f"toxic_{x}": F.col("toxic") * F.col("lang").eqNullSafe(x).cast("int") for x in languages})
+
+
 def op3_chain_toxicity(spark, sf_dir):
     """Categories: toxic in each language of the corpus, then toxic in any."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     languages = ("en", "de", "fr", "es")
-    known = labels.join(docs.select("doc_id", "lang"), "doc_id")
-    known = known.withColumns({f"toxic_{x}": F.col("toxic") * (F.col("lang") == x).cast("int") for x in languages})
+    known = toxic_by_language(labels.join(docs.select("doc_id", "lang"), "doc_id"), languages)
     chain = toxicity.fit(docs, known, (*(f"toxic_{x}" for x in languages), "toxic"), quality.learned())
     scored = toxicity.score(docs.select("doc_id", "text"), chain)
     return scored.select("doc_id", (~quality.learned()).alias("held_out"), *(f"p_toxic_{x}" for x in languages), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))
