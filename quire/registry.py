@@ -597,3 +597,6 @@ def out_of_sequence(spark, sf_dir):
     size = F.length("text")
     printed = F.when(size % 5 == 0, None).when(size % 7 == 0, F.col("turn") + 3).otherwise(F.col("turn") + 10)
     return dataset.out_of_sequence(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), printed.alias("printed")))
+
+
+from quire import registry_pieces  # noqa: E402,F401  adds its queries
