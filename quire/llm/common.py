@@ -1,9 +1,14 @@
 """Helpers shared by the operators of this subpackage."""
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that separates words: space and the control characters 9 to 13.
@@ -23,6 +28,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def lean(df: DataFrame, most: str = "8m") -> DataFrame:
+    """df, whose rows go to Python in batches of at most so many bytes (or one row), so that a task holds little text at
+    once. It lowers the session's setting, which by default is eight times as much, and leaves a lower one as it is."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if bytes_of(conf.get(key, "64m")) > bytes_of(most):
+        conf.set(key, most)
+    return df
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of batches, that gives its memory back to the machine when a task ends, as Spark keeps its Python
+    workers for later tasks and stages."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # in some C libraries only
+                trim(0)
+
+    return own
+
+
+def bytes_of(size: str) -> int:
+    """Of a size as Spark's settings give it: a number, with b, k, m or g."""
+    number, unit = re.fullmatch(r"([0-9]+)([bkmg]?)b?", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, for small tables that several steps read."""
     checkpoint_dir(df.sparkSession)

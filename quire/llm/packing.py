@@ -15,51 +15,79 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, lean, tidy
+from quire.llm.words import Known, chunks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a Python worker remembers; it starts anew when there are more.
-REMEMBERED = 200_000
+#: ASCII marks that are no part of a contraction: at the end of a word they are a token run of their own.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Words:
-    """Token ids, as little-endian unsigned 32-bit bytes, of texts cut at ASCII white space, which the tokenizer drops
-    and never joins words across."""
+    """Token ids, as little-endian unsigned 32-bit bytes, of words, which the tokenizer never joins across white space.
+
+    Runs of letters go to the tokenizer as one text: each ends with the one token that closes a run. Other words, and
+    all if the count of these ends is not that of the words, go one by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.runs = Known(self.letters)
+        self.known = Known(self.joined)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(words.difference(self.known))
-        ends = [w[-1:] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else b"" for w in new]
-        stems = list({w[:-1] if e else w for w, e in zip(new, ends, strict=True)} | {b".", b","})
-        stems = [w for w in stems if w not in self.known]
-        self.known.update(zip(stems, self.encode([w.decode() for w in stems]), strict=True))
-        self.known.update((w, self.known[w[:-1]] + self.known[e]) for w, e in zip(new, ends, strict=True) if e)
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        out, texts = [b""] * len(words), [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(plain):
+                flat, ends = ids.astype("<u4").tobytes(), ends.tolist()
+                for i, a, b in zip(plain, [0, *ends], ends, strict=False):
+                    out[i] = flat[4 * a : 4 * b]
+        odd = [i for i, x in enumerate(out) if not x]
+        for i, x in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
+            out[i] = x
+        return out
+
+    def joined(self, words: list[bytes]) -> list[bytes]:
+        """A letter before trailing marks ends a run, so word and marks are looked up apart."""
+        stems = [w.rstrip(_MARKS) for w in words]
+        stems = [s if s != w and s and s.decode("utf-8", "surrogatepass")[-1].isalpha() else w for s, w in zip(stems, words, strict=True)]
+        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
+        parts = list({*stems, *tails} - {b""})
+        ids = dict(zip(parts, self.runs.of(parts), strict=True)) | {b"": b""}
+        return [ids[s] + ids[t] for s, t in zip(stems, tails, strict=True)]
+
+    def ids(self, texts: pa.Array) -> Iterator[memoryview | bytes]:
         """Lower case changes nothing but the strings of special tokens; texts that may hold one go whole."""
-        whole = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        split = [[] if b"<|" in t else t.lower().split() for t in whole]
-        self.learn(set().union(*split))
-        for t, words in zip(whole, split, strict=True):
-            yield self.encode([t.decode()])[0] if b"<|" in t else b"".join(map(self.known.__getitem__, words))
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        for c in chunks(pc.if_else(special, "", texts)):
+            table = pa.array(self.known.of(c.words.cast(pa.binary()).to_pylist()), pa.large_binary())
+            took = table.take(pa.array(c.index))
+            _, offsets, data = took.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(took) + 1)[c.bounds]
+            view = memoryview(data) if data is not None else memoryview(b"")
+            whole = special.slice(c.first, len(ends) - 1).to_pylist()
+            for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
+                yield self.encode([texts[c.first + i].as_py()])[0] if whole[i] else view[a:b]
 
 
 @cache
 def words_of(path: str) -> Words:
-    """One for each Python worker, which Spark uses again for later tasks."""
+    """One for each Python worker, which Spark uses again for later tasks; what it remembers is bounded in bytes."""
     return Words(path)
 
 
@@ -73,15 +101,17 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = []
-                for i, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True):
-                    ids += last
-                    out += [(i, n, a // 4, min(step, len(ids) - a) // 4, zlib.crc32(ids[a : a + step])) for n, a in enumerate(range(0, len(ids), step))]
+            out = []
+            for i, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1)), strict=True):
+                size = len(ids) + 4
+                for n, a in enumerate(range(0, size, step)):
+                    z = min(a + step, size)
+                    crc = zlib.crc32(ids[a:z])  # the last id isn't in ids
+                    out.append((i, n, a // 4, (z - a) // 4, zlib.crc32(last, crc) if z == size else crc))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, PIECES)
+    return lean(docs.select(F.col(doc_id).cast("long"), F.col(text))).mapInArrow(tidy(run), PIECES)
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
