@@ -7,17 +7,20 @@ from quire.functions.text import excerpt, same_name
 from quire.sources.library import KINDS, Library
 
 
-def fits(document: Column | str | None = None, media: str | None = None, category: str | None = None, tags: tuple[str, ...] = ()) -> Column:
-    """Documents that fit all that is given: whole title, media by name, category, every tag. Nothing given: all fit."""
+def fits(document: str | None = None, media: str | None = None, category: str | None = None, tags: tuple[str, ...] = (), author: str | None = None) -> Column:
+    """Documents that fit all that is given: id or whole title, media and any author by name, category, every tag among
+    those of the media and the document's own. Nothing given: all fit."""
     out = F.lit(True)
     if document is not None:
-        out &= same_name(F.col("title"), F.lit(document))
+        out &= (F.col("doc_id").cast("string") == document) | same_name(F.col("title"), F.lit(document))
+    if author is not None:
+        out &= F.exists("authors", lambda a: same_name(a, F.lit(author)))
     if media is not None:
         out &= same_name(F.col("media"), F.lit(media))
     if category is not None:
         out &= F.col("category") == category
     for t in tags:
-        out &= F.array_contains("tags", t)
+        out &= F.array_contains(F.concat("tags", "media_tags"), t)
     return F.coalesce(out, F.lit(False))
 
 
@@ -124,3 +127,51 @@ def state_of(stored: Column, finished: Column, converted: Column) -> Column:
 def estimate(pages: Column, usd: Column) -> tuple[Column, Column]:
     """Dollars rounded up to the cent after rounding to millionths, and minutes at 28 seconds a page."""
     return F.ceil(F.round(usd * 1e6) / 10000) / 100, F.ceil(pages * 28 / 60)
+
+
+def selected(documents: DataFrame, media: list[str], named: list[str], book_parts: bool = False) -> DataFrame:
+    """The finished documents of chosen media and those named by id or title; nothing chosen chooses all. Parts of a
+    book come on request, or as an appendix. documents: (doc_id, title, media, finished, role)."""
+    same = lambda c, names: F.lower(F.trim(F.col(c).cast("string"))).isin([n.strip().lower() for n in names])
+    rows = documents.where(F.col("finished"))
+    rows = rows.where(same("media", media)) if media else rows
+    rows = rows.where(same("title", named) | same("doc_id", named)) if named else rows
+    return rows.where((F.col("role") != "part") | F.lit(book_parts) | F.contains(F.lower("title"), F.lit("appendix")))
+
+
+def unknown_names(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """(name): the entries of a selection that no document has as its id or title; each is an error."""
+    known = documents.select(F.lower(F.trim("title")).alias("key")).union(documents.select(F.col("doc_id").cast("string"))).distinct()
+    return names.withColumn("key", F.lower(F.trim("name"))).join(known, "key", "left_anti").select("name")
+
+
+def split_of(documents: DataFrame, holdout: DataFrame) -> DataFrame:
+    """documents with `split`: heldout where named by id or title. holdout: (name), which a caller gives."""
+    keys = holdout.select(F.lower(F.trim("name")).alias("key")).distinct()
+    by_id = documents.join(keys, F.col("doc_id").cast("string") == F.col("key"), "left_semi").select("doc_id")
+    by_title = documents.join(keys, F.lower(F.trim("title")) == F.col("key"), "left_semi").select("doc_id")
+    held = by_id.union(by_title).distinct().withColumn("held", F.lit(True))
+    return documents.join(held, "doc_id", "left").withColumn("split", F.when(F.col("held"), "heldout").otherwise("train")).drop("held")
+
+
+def in_catalogue_order(documents: DataFrame) -> DataFrame:
+    """(media_place, place, media, doc_id, title): media by title, those without one last; of each, chapters by their
+    number, then other documents by title. documents: (doc_id, title, media, number)."""
+    media = documents.select("media").distinct().withColumn("media_place", F.row_number().over(Window.orderBy(F.col("media").isNull(), F.lower("media"), "media")))  # a row a media
+    place = F.row_number().over(Window.partitionBy("media_place").orderBy(F.col("number").isNull(), "number", "title", "doc_id"))
+    both = documents.join(media, documents["media"].eqNullSafe(media["media"])).drop(media["media"])
+    return both.withColumn("place", place).select("media_place", "place", "media", "doc_id", "title")
+
+
+def counts_text(counts: dict[str, Column]) -> Column:
+    """'2 passages, 1 formula, 0 figures and 3 tables'; code listings come last and only where there are some."""
+    noun = {"chunk": "passage", "formula": "formula", "figure": "figure", "table": "table", "code": "code listing"}
+    say = {k: F.concat(c.cast("string"), F.lit(f" {noun[k]}"), F.when(c == 1, "").otherwise("s")) for k, c in counts.items()}
+    first = F.concat_ws(", ", say["chunk"], say["formula"], say["figure"])
+    return F.when(counts["code"] == 0, F.concat(first, F.lit(" and "), say["table"])).otherwise(F.concat(first, F.lit(", "), say["table"], F.lit(" and "), say["code"]))
+
+
+def overview(lib: Library, concepts: DataFrame, most: int = 10) -> DataFrame:
+    """(doc_id, place, concept_id, mentions): each document's most mentioned concepts. concepts: (doc_id, concept_id, normalised_name, mentions)."""
+    by = Window.partitionBy("doc_id").orderBy(F.desc("mentions"), "normalised_name", "concept_id")
+    return concepts.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("doc_id", "place", "concept_id", "mentions")

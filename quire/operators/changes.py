@@ -48,3 +48,56 @@ def without_mentions_of(mentions: DataFrame, items: DataFrame, doc: int) -> Data
 def in_order(items: DataFrame) -> DataFrame:
     """(item_id, next_id): each item and the one after it in its document."""
     return items.select("item_id", F.lead("item_id").over(Window.partitionBy("doc_id").orderBy("position")).alias("next_id"))
+
+
+def rejected_mentions(new: DataFrame, items: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(asked, written, missing): how many pairs were to be added, and how many lack their item or concept."""
+    pairs = new.select("item_id", "concept_id").distinct()
+    known = pairs.join(items.select("item_id"), "item_id", "left_semi").join(concepts.select("concept_id"), "concept_id", "left_semi")
+    counts = known.agg(F.count("*").alias("written")).crossJoin(pairs.agg(F.count("*").alias("asked")))  # one row each
+    return counts.select("asked", "written", (F.col("asked") - F.col("written")).alias("missing"))
+
+
+def removed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(removed): by how many rows a table got shorter."""
+    return old.agg(F.count("*").alias("a")).crossJoin(new.agg(F.count("*").alias("b"))).select((F.col("a") - F.col("b")).alias("removed"))
+
+
+def of_media(title: str):
+    return F.lower(F.trim("media")) == title.strip().lower()
+
+
+def delete_media(documents: DataFrame, items: DataFrame, title: str) -> tuple[DataFrame, DataFrame]:
+    """The documents of other media and their items; capitals and outer spaces of the title don't matter."""
+    gone = documents.where(F.coalesce(of_media(title), F.lit(False)))
+    return documents.join(gone.select("doc_id"), "doc_id", "left_anti"), items.join(gone.select("doc_id"), "doc_id", "left_anti")
+
+
+def author_list(names):
+    """Names trimmed, without blank ones, each once in order."""
+    return F.array_distinct(F.filter(F.transform(names, lambda a: F.trim(a)), lambda a: a != ""))
+
+
+def relabel_media(documents: DataFrame, title: str, category: str | None = None, authors: list[str] | None = None, tags: list[str] | None = None) -> DataFrame:
+    """documents with the given labels on each document of the media; its own tags stay."""
+    own = F.coalesce(of_media(title), F.lit(False))
+    new = {"category": F.lit(category) if category is not None else None, "authors": author_list(F.array(*map(F.lit, authors))) if authors is not None else None, "media_tags": F.array(*map(F.lit, tags)) if tags is not None else None}
+    return documents.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in new.items() if v is not None})
+
+
+def mark_ingested(documents: DataFrame, doc: int, items: int | None) -> DataFrame:
+    """The mark of a document that is stored whole, with the number of its items; null clears it."""
+    return documents.withColumn("ingested_items", F.when(F.col("doc_id") == doc, F.lit(items).cast("long")).otherwise(F.col("ingested_items")))
+
+
+def replace_run(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Items of an earlier run of the documents in `new` give way to the new ones."""
+    return old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
+
+
+def upsert_concepts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Concepts with new names and definitions; aliases that are stored stay. new: (concept_id, name, normalised_name, definition)."""
+    rest = [c for c in new.columns if c != "concept_id"]
+    both = old.join(new.select("concept_id", F.struct(*rest).alias("new")), "concept_id", "full")
+    kept = {c: F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(F.col(c)) for c in rest}
+    return both.withColumns(kept).drop("new").select(*old.columns)

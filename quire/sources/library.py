@@ -16,7 +16,7 @@ CATEGORIES = ("book", "paper", "other")
 
 @dataclass
 class Library:
-    """document(doc_id, title, media, category, tags), item(item_id, doc_id, page, kind, position, label, cites),
+    """document(doc_id, title, media, category, tags, authors, media_tags), item(item_id, doc_id, page, kind, position, label, cites),
     concept(concept_id, name, normalised_name, definition, alias), mention(item_id, concept_id),
     relation(from_id, to_id, type, item_id)."""
 
@@ -36,6 +36,7 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     document = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"], "left").select(
         F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"), F.col("n_name").alias("media"),
         one_of(CATEGORIES, (F.col("c_custkey") % 3).cast("int")).alias("category"), F.array(F.lower("c_mktsegment")).alias("tags"),
+        F.array(F.concat(F.lit("Author "), F.col("c_nationkey").cast("string")), F.concat(F.lit("Writer "), (F.col("c_custkey") % 7).cast("string"))).alias("authors"), F.array(F.lower("n_name")).alias("media_tags"),
     )
     kind = one_of(KINDS, F.substring("o_orderpriority", 1, 1).cast("int") - 1)
     last = lambda n: F.floor(F.col("o_orderkey") / n) % 10
@@ -57,7 +58,8 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
 
 #: The same tables in SQL.
 SQL = """WITH document AS (
-    SELECT c_custkey AS doc_id, c_name AS title, n_name AS media, (['book', 'paper', 'other'])[c_custkey % 3 + 1] AS category, [lower(c_mktsegment)] AS tags
+    SELECT c_custkey AS doc_id, c_name AS title, n_name AS media, (['book', 'paper', 'other'])[c_custkey % 3 + 1] AS category, [lower(c_mktsegment)] AS tags,
+        ['Author ' || c_nationkey, 'Writer ' || c_custkey % 7] AS authors, [lower(n_name)] AS media_tags
     FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 ), kinds AS (
     SELECT *, (['chunk', 'formula', 'figure', 'table', 'code'])[CAST(o_orderpriority[1] AS INTEGER)] AS kind FROM orders
