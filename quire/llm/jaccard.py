@@ -12,6 +12,7 @@ group of near copies so grows with its size, not with the square, and no link be
 """
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +20,37 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, stored
+from quire.llm.common import cut, lean, stored, tidy
+from quire.llm.words import chunks, drawn, hashes, mixed
 
-#: Words and frequent n-grams that a Python worker holds at most, and n-grams that it counts at once.
-REMEMBERED, FREQUENT, COUNTED = 200_000, 1_000_000, 2_000_000
+#: Frequent n-grams that a Python worker holds at most, n-grams that it counts at once, groups whose prefix it has given.
+FREQUENT, COUNTED, GIVEN = 1_000_000, 2_000_000, 200_000
 #: An n-gram is frequent if it is counted so often; n-grams shared by more groups than LARGE are first joined with one group.
 OFTEN, LARGE = 4, 16
-#: Bits of the filter that tells which documents' sets are to be compared; of fixed size, a fuller one lets more pass.
-FILTER_BITS = 1 << 24
-_HASH: dict[bytes, int] = {}
-
-
-def ngrams(text: str | None, n: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct word n-grams; with fewer words, of all its words as one; empty without."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_HASH) > REMEMBERED:
-        _HASH.clear()
-    for w in set(words).difference(_HASH):
-        _HASH[w] = xxhash.xxh3_64_intdigest(w)
-    x = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(x))
-    out = np.full(len(x) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[k : len(x) - size + 1 + k]
-    return np.unique(out ^ (out >> np.uint64(32)))
+#: Bits, at least and at most, of the filter that tells which documents' sets are to be compared, 16 for each of them;
+#: a fuller one lets more pass.
+FILTER_BITS = (1 << 20, 1 << 29)
+
+
+@cache
+def draws() -> np.ndarray:
+    return drawn(5)
+
+
+def ngrams(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's distinct word n-grams; with fewer words, of all its words as one; empty without."""
+    for c in chunks(texts):
+        x = hashes(c.words, draws())[c.index]
+
+        def rolled(x: np.ndarray, size: int) -> np.ndarray:
+            out = np.full(len(x) - size + 1, size, np.uint64)
+            for k in range(size):
+                out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[k : len(x) - size + 1 + k]
+            return mixed(out)
+
+        whole = rolled(x, n) if len(x) >= n else None
+        for a, b in zip(c.bounds.tolist(), c.bounds[1:].tolist(), strict=False):
+            yield np.zeros(0, np.uint64) if a == b else rolled(x[a:b], b - a) if b - a < n else np.unique(whole[a : b - n + 1])
 
 
 def frequent(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +65,15 @@ def frequent(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(grams[times > 1].view(np.int64)), pa.array(times[times > 1])], names=["s", "c"])
 
         for batch in batches:
-            for t in batch.column(0):
-                held.append(ngrams(t.as_py(), n))
-                size += len(held[-1])
+            for grams in ngrams(batch.column(0), n):
+                held.append(grams)
+                size += len(grams)
                 if size > COUNTED:
                     yield count()
                     held, size = [], 0
         yield count()
 
-    counts = docs.select(F.col(text)).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
+    counts = lean(docs.select(F.col(text))).mapInArrow(tidy(run), "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= OFTEN)
     got = counts.orderBy(F.col("c").desc(), "s").limit(FREQUENT).toArrow()
     grams, times = got["s"].to_numpy().view(np.uint64), got["c"].to_numpy()
     order = np.argsort(grams)
@@ -88,79 +94,78 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, n: int, often: tuple[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times = sent.value
-        given: set[int] = set()
+        given: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, out = batch.slice(at, 512), []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    s = ngrams(t.as_py(), n)
-                    if not len(s):
-                        out.append((i, 0, None, None, None))
-                        continue
-                    size = len(s) - -(-parts * len(s) // of) + 1
-                    place = np.minimum(np.searchsorted(grams, s), max(len(grams) - 1, 0))
-                    known = grams[place] == s if len(grams) else np.zeros(len(s), bool)
-                    first = s[~known][:size]
-                    if len(first) < size:
-                        rest = s[known]
-                        first = np.concatenate([first, rest[np.lexsort((rest, times[place[known]]))][: size - len(first)]])
-                    rare = int(127 * (~known).mean())
-                    g = rare << 56 | xxhash.xxh3_64_intdigest(first.tobytes() + len(s).to_bytes(8, "little")) >> 8
-                    seen = g in given
-                    if len(given) > REMEMBERED:
-                        given.clear()
-                    given.add(g)
-                    out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), g, None if seen else first.view(np.int64)))
+            out, held = [], 0
+            for i, s in zip(batch.column(0).to_pylist(), ngrams(batch.column(1), n), strict=True):
+                if not len(s):
+                    out.append((i, 0, None, None, None))
+                    continue
+                size = len(s) - -(-parts * len(s) // of) + 1
+                place = np.minimum(np.searchsorted(grams, s), max(len(grams) - 1, 0))
+                known = grams[place] == s if len(grams) else np.zeros(len(s), bool)
+                first = s[~known][:size]
+                if len(first) < size:
+                    rest = s[known]
+                    first = np.concatenate([first, rest[np.lexsort((rest, times[place[known]]))][: size - len(first)]])
+                name = xxhash.xxh3_128_digest(first.tobytes() + len(s).to_bytes(8, "little"))
+                g = int(127 * (~known).mean()) << 56 | int.from_bytes(name[:7], "little")
+                seen = name in given
+                if len(given) > GIVEN:
+                    given.clear()
+                given.add(name)
+                out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), g, None if seen else first.view(np.int64)))
+                held += 0 if seen else len(first)
+                if held > COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    out, held = [], 0
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n int, key binary, g long, prefix array<long>")
+    return lean(docs.select(F.col(doc_id).cast("long"), F.col(text))).mapInArrow(tidy(run), "doc_id long, n int, key binary, g long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, key, grams): the sets of the documents that wanted.node names, and of some others, without a shuffle of
-    texts: a filter of fixed size goes to the tasks that read them. 48 bits of each hash are kept."""
-    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = wanted.select(spread("node").alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(b % 64 AS INT)))").alias("v")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    """(key, grams): the sets of the documents whose ids are in wanted.least, and of some others, without a shuffle of
+    texts: a filter goes to the tasks that read them. A null id passes if one is wanted."""
+    low, high = FILTER_BITS
+    size = min(high, max(low, 1 << (16 * wanted.count()).bit_length()))
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    bits = wanted.select(spread("least").alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(b % 64 AS INT)))").alias("v")).toArrow()
+    words = np.zeros(size // 64, np.uint64)
     words[bits["w"].to_numpy()] = bits["v"].to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    schema = pa.schema([("node", pa.int64()), ("key", pa.binary()), ("grams", pa.binary())])
+    sent = docs.sparkSession.sparkContext.broadcast(words)  # at most 64 MB
+    schema = pa.schema([("key", pa.binary()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = batch.column(2).to_numpy()
+            b = batch.column(1).to_numpy()
             rows = np.flatnonzero(sent.value[b // 64] >> (b % 64).astype(np.uint64) & np.uint64(1))
             for at in range(0, len(rows), 256):
-                own = rows[at : at + 256]
-                sets = [ngrams(batch.column(1)[int(r)].as_py(), n) for r in own]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets], pa.binary())], schema=schema)
+                sets = [s.tobytes() for s in ngrams(batch.column(0).take(pa.array(rows[at : at + 256])), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(xxhash.xxh3_128_digest, sets)), pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text)).where(F.col("i").isNotNull()).withColumn("b", spread("i"))
-    return rows.mapInArrow(run, "node long, key binary, grams binary")
+    return lean(docs.select(F.col(text), spread(F.col(doc_id).cast("long")).alias("b"))).mapInArrow(tidy(run), "key binary, grams binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, parts: int, of: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets overlap enough."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = sets_of(docs, doc_id, text, n, wanted).join(nodes.select("node", "key"), ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "grams")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.join(asked, "node", "left_semi").select("node", "key", "least"))
+    found = sets_of(docs, doc_id, text, n, wanted).join(wanted.select("node", "key"), "key").dropDuplicates(["node"]).select("node", "grams")
     both = pairs.join(found.withColumnsRenamed({"node": "a", "grams": "ga"}), "a").join(found.withColumnsRenamed({"node": "b", "grams": "gb"}), "b").select("a", "b", "ga", "gb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wide(x: bytes) -> np.ndarray:
-            out = np.zeros((len(x) // 6, 8), np.uint8)
-            out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-            return out.view(np.uint64).ravel()
-
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = wide(x.as_py()), wide(y.as_py())
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(of * common >= parts * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return lean(both).mapInArrow(tidy(run), "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -184,12 +189,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     doc_id that links reach, its own included. Two documents are linked when their overlap is parts / of or more.
 
     A-Z count as a-z, words are parted by ASCII white space. A text of fewer than n words is one n-gram of all of
-    them; null and empty texts have none and no links. Repeated rows each get a row; a null doc_id takes part but
-    names no class. Other columns are dropped; an empty table gives no rows."""
+    them; null and empty texts have none and no links; long texts are read whole. Every row gets a row, repeated ids
+    and null ids too: rows that share an id but not the text may be in different classes, and a row without an id
+    links others but names no class. Other columns are dropped; an empty table gives no rows.
+
+    A group is named by 56 bits of its digest; two that share a name count as one group of both, which loses no link."""
     often = frequent(docs, text, n)
     rows = stored(prefixes(docs, doc_id, text, n, often, parts, of))
-    named = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = cut(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("g").alias("g")))
+    named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("g").alias("g"))
+    nodes = cut(named.withColumn("node", F.monotonically_increasing_id()))
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("members"))
 
     near = lambda a, b: (a * of >= b * parts) & (b * of >= a * parts)
@@ -199,8 +207,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     posts = rows.where(F.col("prefix").isNotNull()).select("g", "n", F.posexplode("prefix").alias("at", "s"))
     posts = posts.select("s", "g", "n", (F.col("n") - rest(F.col("n")) - F.col("at")).cast("int").alias("left"))
     shared = posts.groupBy("s").agg(F.min("g").alias("pivot"), F.max("g").alias("last"), F.count("*").alias("k")).where(F.col("pivot") != F.col("last"))
-    met = stored(posts.join(shared.drop("last"), "s").dropDuplicates(["s", "g"]))
-    prefix = stored(met.groupBy("g").agg(F.collect_list("s").alias("p")))
+    met = stored(posts.join(shared.drop("last"), "s").dropDuplicates(["s", "g", "n", "left"]))
+    prefix = stored(met.groupBy("g").agg(F.collect_set("s").alias("p")))
     pa_, pb = (prefix.select(F.col("g").alias(f"g{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
 
     def enough(pairs: DataFrame) -> DataFrame:
@@ -210,11 +218,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
 
     # Where many groups meet, each with the one made most of frequent n-grams; then the members of a group with its first.
     # A group meets one such other, that which most of its n-grams name, so there are no more of these pairs than groups.
-    hubs = met.where((F.col("k") > LARGE) & (F.col("g") != F.col("pivot"))).groupBy(F.col("g").alias("ga"), F.col("pivot").alias("gb")).agg(F.max("left").alias("left"), F.first("n").alias("na"), F.count("*").alias("c"))
-    sizes = nodes.groupBy(F.col("g").alias("gb")).agg(F.first("n").alias("nb"))
+    hubs = met.where((F.col("k") > LARGE) & (F.col("g") != F.col("pivot"))).groupBy(F.col("g").alias("ga"), F.col("pivot").alias("gb"), F.col("n").alias("na")).agg(F.max("left").alias("left"), F.count("*").alias("c"))
+    sizes = nodes.select(F.col("g").alias("gb"), F.col("n").alias("nb")).distinct()
     na, nb = F.col("na"), F.col("nb")
     hubs = hubs.join(sizes, "gb").where(near(na, nb) & (F.col("left") >= least(na, nb, na, nb)))
-    hubs = hubs.groupBy("ga").agg(F.max(F.struct("c", "gb", "na", "nb")).alias("best")).select("ga", "best.gb", "best.na", "best.nb")
+    hubs = hubs.groupBy("ga", "na").agg(F.max(F.struct("c", "gb", "nb")).alias("best")).select("ga", "best.gb", "na", "best.nb")
     hubs = enough(hubs)
     of_a = nodes.select(F.col("g").alias("ga"), F.col("node").alias("a"))
     first = hubs.join(of_a, "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
@@ -224,7 +232,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
 
     # Then groups of different classes: first classes that meet, then their groups. A group that spans classes stands for itself.
     classes = cut(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    spans = classes.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.abs(F.col("g"))).alias("comp"))
+    spans = classes.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("head"))
+    spans = spans.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("head")).alias("comp"))  # nodes aren't negative
     of_class = met.select("s", "g", "n", "left").join(spans, "g")
     mixed = of_class.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
     of_class = cut(of_class.join(mixed, "s"))
@@ -242,5 +251,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     more = verified(across.union(within).distinct(), nodes, docs, doc_id, text, n, parts, of)
 
     links = links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))).union(more)
-    final = nodes.select("key", "node").join(components(nodes, links), "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
-    return rows.select("doc_id", "n", "key").join(final, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    comps = nodes.select("key", "node", "least").join(components(nodes, links), "node", "left").select("key", "least", F.coalesce("comp", "node").alias("comp"))
+    least_of = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
+    final = comps.join(least_of, "comp").select("key", "component_id")
+    return rows.select("doc_id", "n", "key").join(final, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
