@@ -122,12 +122,12 @@ def related_concepts(lib, *_):
     return graph.related_concepts(lib, IDS)
 
 
-@query("SELECT * FROM relation WHERE from_id < 100 AND to_id < 100")
+@query("SELECT * FROM relation WHERE from_id IN (SELECT concept_id FROM mention) AND to_id IN (SELECT concept_id FROM mention)")
 def relations_among(lib, *_):
     return graph.relations_among(lib, lib.mention.select("concept_id"))
 
 
-@query("SELECT * FROM mention WHERE item_id < 400 AND concept_id < 300")
+@query("SELECT * FROM mention WHERE item_id IN (SELECT item_id FROM item WHERE kind = 'chunk') AND concept_id IN (SELECT from_id FROM relation)")
 def mentions_between(lib, *_):
     return graph.mentions_between(lib, lib.item.where("kind = 'chunk'").select("item_id"), lib.relation.select(F.col("from_id").alias("concept_id")))
 
@@ -205,7 +205,7 @@ def vector_topk(spark, sf_dir):
     return vectors.top_k(v.where("kind IN (0, 1)"), vectors.one(v, 7), 10).select("item_id", "score")
 
 
-@query(COSINE + "SELECT item_id, score FROM s WHERE item_id % 3 = 0", model=False)
+@query(COSINE + "SELECT item_id, score FROM s", model=False)
 def vector_rank(spark, sf_dir):
     return searched(spark, sf_dir).select("item_id", "score").orderBy(F.desc("score"), "item_id")
 
@@ -245,8 +245,9 @@ def passed_over(spark, sf_dir):
     return vectors.passed_over(searched(spark, sf_dir), 25, 3)
 
 
-NEAREST = """WITH v AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-    p AS (SELECT v.item_id, c.item_id AS concept_id, round(list_inner_product(v.e, c.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(c.e, c.e))), 6) AS score FROM v, v c WHERE c.item_id % 10 = 0 AND v.item_id % 10 <> 0),
+NEAREST = """WITH v AS (SELECT vec_id AS item_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    spread AS (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS pos FROM v), mean AS (SELECT label, pos, avg(x) AS x FROM spread GROUP BY ALL), c AS (SELECT CAST(label AS BIGINT) AS concept_id, list(x ORDER BY pos) AS e FROM mean GROUP BY 1),
+    p AS (SELECT v.item_id, c.concept_id, round(list_inner_product(v.e, c.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(c.e, c.e))), 6) AS score FROM v, c),
     n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, concept_id) = 1)
 """
 
@@ -300,7 +301,7 @@ def search_candidates(lib, *_):
     return retrieval.candidates(lib, *found_concepts(lib))
 
 
-CITES = ", kept AS (SELECT item_id, item_id AS place FROM item WHERE kind = 'chunk' AND item_id < 4000)\n"
+CITES = ", kept AS (SELECT item_id, item_id AS place FROM item WHERE kind = 'chunk')\n"
 
 
 @query(CITES + """SELECT i.item_id, i.label, min(w.place) AS by FROM item i JOIN (SELECT doc_id, place, unnest(cites) AS label FROM item JOIN kept USING (item_id)) w ON i.doc_id = w.doc_id AND i.label = w.label
@@ -444,18 +445,14 @@ def planned(lib, spark, sf_dir):
     return dataset.section_plan(factors(lib), seeds(lib), section_passages(spark, sf_dir))
 
 
-@query()
-def cap_texts(lib, spark, sf_dir):
-    return caps.keep_texts(planned(lib, spark, sf_dir), 2000)
-
-
 # Texts.
 def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
 FIRST = "regexp_replace(text, '\\n.*', '', 's')"
-BODY = "regexp_replace(text, '^[^\\n]*\\n?', '')"
+#: What follows the first blank line, or the whole text without one.
+BODY = "CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE text END"
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(lower({FIRST}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS name, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents", model=False)
@@ -525,9 +522,16 @@ RARITY = PLACES + """, m AS (SELECT doc_id AS section, concept_id, count(*) AS n
     pairs AS (SELECT section, m.concept_id, total FROM m JOIN c USING (concept_id) WHERE section % 10 <> 0),
     f AS (SELECT section, median((SELECT median(total) FROM pairs) / greatest(total, 1)::DOUBLE) AS f FROM pairs GROUP BY 1),
     factors AS (SELECT doc_id AS section, doc_id % 10 = 0 AS heldout, coalesce(greatest(0.5, least(3.0, f)), 1.0)::DOUBLE AS factor FROM document LEFT JOIN f ON doc_id = section),
-    plan AS (SELECT *, CASE WHEN heldout THEN 0 ELSE CAST(round(3 * factor) AS BIGINT) END AS k, CASE WHEN heldout THEN 2 ELSE CAST(round(2 * factor) AS BIGINT) END AS questions FROM factors),
-    planned AS (SELECT section, heldout, round(factor, 9) AS factor, (k + 2) // 3 AS rephrase, (k + 1) // 3 AS relations, k // 3 AS summary, CASE WHEN NOT heldout AND factor >= 1 THEN 1 ELSE 0 END AS exercise, questions FROM plan)
+    seeded AS (SELECT a.section, from_id, to_id, type, row_number() OVER (PARTITION BY a.section ORDER BY least(ca.total, cb.total), from_id, to_id, type) AS place FROM relation r JOIN item i ON r.item_id = i.item_id AND i.doc_id % 10 <> 0
+        JOIN m a ON a.concept_id = from_id JOIN m b ON b.concept_id = to_id AND a.section = b.section JOIN c ca ON ca.concept_id = from_id JOIN c cb ON cb.concept_id = to_id WHERE a.section % 10 <> 0),
+    told AS (SELECT section, count(*) AS n FROM seeded GROUP BY 1),
+    -- A section is read in one passage unless its text has a blank line, and no text of the tables has one.
+    plan AS (SELECT f.section, heldout, factor, 1 AS passages, CASE WHEN heldout THEN 0 ELSE CAST(round(3 * factor) AS BIGINT) END AS k, coalesce(n, 0) AS told, CASE WHEN heldout THEN 2 ELSE CAST(round(2 * factor) AS BIGINT) END AS questions,
+        coalesce(contains(chr(10) || text || chr(10), chr(10) || '$$' || chr(10)), false) AND CAST('0x' || substr(sha256(CAST(f.section AS VARCHAR)), 1, 16) AS UBIGINT) % 20 = 0 AS picked FROM factors f LEFT JOIN told t ON f.section = t.section LEFT JOIN documents d ON d.doc_id = f.section),
+    planned AS (SELECT section, heldout, round(factor, 9) AS factor, passages, (k + 2) // 3 AS rephrase_wiki, (k + 1) // 3 AS rephrase_lecture, k // 3 AS rephrase_qa, least(k, told) AS entigraph, CASE WHEN NOT heldout AND picked THEN 1 ELSE 0 END AS notation_variant, CASE WHEN NOT heldout AND factor >= 1 THEN 1 ELSE 0 END AS exercise, questions FROM plan)
 """
+PLANNED = ("rephrase_wiki", "rephrase_lecture", "rephrase_qa", "entigraph", "notation_variant", "exercise")
+RANKED = "ORDER BY factor DESC, substr(sha256(CAST(section AS VARCHAR)), 1, 16), section"
 
 
 def mentioned(lib):
@@ -548,19 +552,31 @@ def section_plan(lib, spark, sf_dir):
     return planned(lib, spark, sf_dir).withColumn("factor", F.round("factor", 9))
 
 
-@query(RARITY + "SELECT section, greatest(0, least(questions, 500 - (sum(questions) OVER (ORDER BY factor DESC, substr(sha256(CAST(section AS VARCHAR)), 1, 16), section) - questions)))::BIGINT AS questions FROM planned")
+@query(RARITY + f"SELECT section, greatest(0, least(questions, 500 - (sum(questions) OVER ({RANKED}) - questions)))::BIGINT AS questions FROM planned")
 def cap_questions(lib, spark, sf_dir):
     return dataset.capped_questions(planned(lib, spark, sf_dir).select("section", F.round("factor", 9).alias("factor"), "questions"), 500)
 
 
-@query(RARITY + "SELECT " + ", ".join(f"sum({k})::BIGINT AS {k}" for k in ("rephrase", "relations", "summary", "exercise", "questions")) + ", sum(2 * (rephrase + relations + summary + exercise) + 6 * questions)::BIGINT AS model_calls FROM planned")
+CAPPED_TEXTS = RARITY + f""", asked AS (SELECT *, {' + '.join(PLANNED)} AS n FROM planned WHERE NOT heldout), room AS (SELECT *, greatest(0, 2000 - (sum(n) OVER ({RANKED}) - n)) AS room FROM asked),
+    a AS (SELECT *, least(rephrase_wiki + rephrase_lecture + rephrase_qa, room) AS k FROM room), b AS (SELECT *, least(entigraph, room - k) AS e FROM a), d AS (SELECT *, least(exercise, room - k - e) AS x FROM b),
+    kept AS (SELECT section, (k + 2) // 3 AS rephrase_wiki, (k + 1) // 3 AS rephrase_lecture, k // 3 AS rephrase_qa, e AS entigraph, x AS exercise, least(notation_variant, room - k - e - x) AS notation_variant FROM d)
+    SELECT section, unnest({list(PLANNED)}) AS kind, CAST(unnest([{', '.join(PLANNED)}]) AS BIGINT) AS n FROM kept"""
+
+
+@query(CAPPED_TEXTS)
+def cap_texts(lib, spark, sf_dir):
+    return caps.keep_texts(planned(lib, spark, sf_dir), 2000)
+
+
+@query(RARITY + "SELECT " + ", ".join(f"sum({k})::BIGINT AS {k}" for k in (*PLANNED, "questions")) + f", sum(2 * ({' + '.join(PLANNED)}) + 6 * questions)::BIGINT AS model_calls FROM planned")
 def plan_totals(lib, spark, sf_dir):
     return dataset.plan_totals(planned(lib, spark, sf_dir))
 
 
-@query(RARITY + """, long AS (SELECT section, unnest([0, 1, 2, 3]) AS pos, unnest(['rephrase', 'relations', 'summary', 'exercise']) AS kind, unnest([rephrase, relations, summary, exercise]) AS n FROM planned),
-    each AS (SELECT section, pos, kind, unnest(range(1, n + 1)) AS version FROM long)
-    SELECT section, kind, version, CAST(row_number() OVER (PARTITION BY section ORDER BY pos, version) AS INTEGER) AS draft FROM each""")
+@query(RARITY + """, long AS (SELECT section, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['rephrase_wiki', 'rephrase_lecture', 'rephrase_qa', 'notation_variant', 'exercise']) AS kind, unnest([rephrase_wiki, rephrase_lecture, rephrase_qa, notation_variant, exercise]) AS n FROM planned),
+    each AS (SELECT section, pos, kind, 1 AS passage, unnest(range(1, n + 1)) AS version, NULL AS place, NULL AS from_id, NULL AS to_id, NULL AS type FROM long UNION ALL
+        SELECT s.section, 5, 'entigraph', 1, 1, place, from_id, to_id, type FROM seeded s JOIN planned p ON s.section = p.section WHERE place <= entigraph)
+    SELECT section, kind, passage, version, coalesce(place, version) AS number, section || ':' || kind || ':' || coalesce(place, version) AS id, from_id, to_id, type, CAST(row_number() OVER (PARTITION BY section ORDER BY pos, coalesce(place, version)) AS INTEGER) AS draft FROM each""")
 def draft_ids(lib, spark, sf_dir):
     placed = dataset.relation_passages(seeds(lib), lib.concept.select("concept_id", "name"), section_passages(spark, sf_dir))
     return dataset.drafts(planned(lib, spark, sf_dir), placed)
