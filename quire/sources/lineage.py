@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as reliably checkpointed. The folder is that of spark.checkpoint.dir; a local one only where none is named, as in tests."""
+    """df as reliably checkpointed. The folder is that of spark.checkpoint.dir; where none is named, a temporary one in
+    local mode, as in tests, and an error on a cluster, whose machines don't share such a folder."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quire-lineage"))
     return df.checkpoint()
