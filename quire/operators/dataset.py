@@ -53,14 +53,18 @@ def page_scores(pages: DataFrame) -> DataFrame:
     return pages.groupBy("section").agg(F.when(~F.bool_or(F.col("score").isNull()), F.min("score")).alias("score"))
 
 
-def word_match(pairs: DataFrame) -> DataFrame:
+def word_match(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, a_in_b, b_in_a): shares of the words of one text that the other has as often, to three places.
 
-    pairs: (id, a, b). Both empty match fully, one empty not at all."""
-    side = lambda c: pairs.select("id", F.explode(words(c)).alias("w")).groupBy("id", "w").agg(F.count("*").alias(f"n{c}"))
-    both = side("a").join(side("b"), ["id", "w"], "full").groupBy("id").agg(F.sum(F.least(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0)))).alias("both"), F.sum(F.coalesce("na", F.lit(0))).alias("a"), F.sum(F.coalesce("nb", F.lit(0))).alias("b"))
-    share = lambda n: F.when(F.col("both").isNull(), 1.0).when(F.col(n) == 0, 0.0).otherwise(F.round(F.col("both") / F.col(n), 3))
-    return pairs.select("id").join(both, "id", "left").select("id", share("a").alias("a_in_b"), share("b").alias("b_in_a"))
+    texts: (doc_id, text); pairs: (id, a, b), with the ids of two texts. Both empty match fully, one empty not at all.
+    Each text is cut into words once, and only counts of words are shuffled."""
+    bag = texts.select("doc_id", F.explode(words("text")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    size = bag.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    of = lambda df, c: df.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}{c}" if x == "n" else x) for x in df.columns if x != "doc_id"))
+    both = pairs.join(of(bag, "a"), "a").join(of(bag, "b"), ["b", "w"]).groupBy("id").agg(F.sum(F.least("na", "nb")).alias("both"))
+    rows = pairs.join(of(size, "a"), "a", "left").join(of(size, "b"), "b", "left").join(both, "id", "left")
+    share = lambda n: F.when(F.col("na").isNull() & F.col("nb").isNull(), 1.0).when(F.col(n).isNull(), 0.0).otherwise(F.round(F.coalesce("both", F.lit(0)) / F.col(n), 3))
+    return rows.select("id", share("na").alias("a_in_b"), share("nb").alias("b_in_a"))
 
 
 def rarity(mentions: DataFrame, sections: DataFrame, low: float = 0.5, high: float = 3.0) -> DataFrame:

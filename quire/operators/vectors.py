@@ -1,5 +1,9 @@
 """Vector operators: exact cosine against stored vectors, in double precision."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +63,39 @@ def labelled(items: DataFrame, vectors: DataFrame, query: DataFrame, doc: int, l
     return scored(own, query).orderBy(F.desc("score"), "item_id").limit(most).select("item_id", "label", "score")
 
 
+#: Bytes of stored concepts that go to every task; with more, pairs are made by a join.
+CONCEPT_BYTES = 64_000_000
+
+
 def nearest_concept(vectors: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(item_id, concept_id, score): each vector's nearest concept, ties to the smaller id. The pairs of one vector
-    are scored where they are made; only the best leaves a task."""
-    pairs = vectors.select("item_id", "vector").crossJoin(concepts.select("concept_id", F.col("vector").alias("c")))
-    best = pairs.groupBy("item_id").agg(F.max(F.struct(cosine("vector", "c").alias("score"), (-F.col("concept_id")).alias("least"))).alias("b"))
-    return best.select("item_id", (-F.col("b.least")).alias("concept_id"), F.col("b.score").alias("score"))
+    """(item_id, concept_id, score): each vector's nearest concept, ties to the smaller id.
+
+    Where the concepts' vectors are few enough to be sent to every task, a block of vectors is multiplied by all of
+    them at once; else the pairs of one vector are scored where a join makes them, and only the best leaves a task."""
+    rows, width = concepts.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    if rows * width * 8 > CONCEPT_BYTES:
+        pairs = vectors.select("item_id", "vector").crossJoin(concepts.select("concept_id", F.col("vector").alias("c")))
+        best = pairs.groupBy("item_id").agg(F.max(F.struct(cosine("vector", "c").alias("score"), (-F.col("concept_id")).alias("least"))).alias("b"))
+        return best.select("item_id", (-F.col("b.least")).alias("concept_id"), F.col("b.score").alias("score"))
+    stored = sorted((r["concept_id"], r["vector"]) for r in concepts.where("vector IS NOT NULL").select("concept_id", "vector").collect())
+    ids, c = np.array([i for i, _ in stored], np.int64), np.array([v for _, v in stored], float).reshape(len(stored), -1)
+    length = np.sqrt((c**2).sum(axis=1))
+    sent = vectors.sparkSession.sparkContext.broadcast((ids[length > 0], c[length > 0] / length[length > 0, None]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(ids) else 0, 1024):
+                part = batch.slice(at, 1024)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                own = np.sqrt((x**2).sum(axis=1))
+                score = np.round(x @ unit.T / np.maximum(own, 1e-300)[:, None], 6)
+                best = score.argmax(axis=1)  # the first of equal ones, so the smallest id
+                keep = pa.array(own > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids[best]), pa.array(score[np.arange(len(best)), best])], names=["item_id", "concept_id", "score"]).filter(keep)
+
+    known = vectors.where(F.size("vector") == width).select(F.col("item_id").cast("long"), F.col("vector").cast("array<double>"))
+    return known.mapInArrow(run, "item_id long, concept_id long, score double")
 
 
 def resolution(named: Column, score: Column, link: float = 0.95, create: float = 0.75) -> Column:

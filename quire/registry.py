@@ -500,9 +500,9 @@ def page_score(spark, sf_dir):
     SELECT p.id, CASE WHEN a.n IS NULL AND b.n IS NULL THEN 1.0::DOUBLE WHEN a.n IS NULL THEN 0.0 ELSE round(coalesce(o.n, 0)::DOUBLE / a.n, 3) END AS a_in_b, CASE WHEN a.n IS NULL AND b.n IS NULL THEN 1.0::DOUBLE WHEN b.n IS NULL THEN 0.0 ELSE round(coalesce(o.n, 0)::DOUBLE / b.n, 3) END AS b_in_a
     FROM p LEFT JOIN o ON p.id = o.id LEFT JOIN s a ON a.doc_id = p.id LEFT JOIN s b ON b.doc_id = p.other""", model=False)
 def word_match(spark, sf_dir):
-    a = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("a"))
-    b = docs(spark, sf_dir).select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("b"))
-    return dataset.word_match(a.join(b, "id"))
+    ids = docs(spark, sf_dir).select("doc_id")
+    pairs = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return dataset.word_match(docs(spark, sf_dir).select("doc_id", "text"), pairs)
 
 
 @query(model=False)
