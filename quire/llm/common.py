@@ -1,5 +1,6 @@
 """Helpers shared by the operators of this subpackage."""
 
+import atexit
 import ctypes
 import gc
 import os
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that separates words: space and the control characters 9 to 13.
@@ -16,15 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it names none, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one in local
+    mode, as in tests; on a cluster that is an error, as its machines don't share such a folder."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     made = os.path.join(tempfile.gettempdir(), "quire-checkpoints")
-    spark.sparkContext.setCheckpointDir(made)
+    context.setCheckpointDir(made)
     return made
 
 
@@ -66,8 +72,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again, for large tables that several steps read."""
+    """df written as Parquet in the shared folder and read again, for large tables that several steps read. The tables
+    of an application are removed when its Python driver ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/quire-{uuid.uuid4().hex}"
+    top = f"{checkpoint_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+    if top not in _KEPT:
+        _KEPT.add(top)
+        atexit.register(removed, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), top)
+    path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Folders of stored tables that this driver made.
+_KEPT: set[str] = set()
+
+
+def removed(jvm, conf, path: str) -> None:
+    """Deletes a folder by Hadoop's file system, if the JVM still answers."""
+    try:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    except (Py4JError, OSError):
+        return

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import stored, tidy
 
 #: What a block of documents holds at most: text bytes and distinct words.
 BLOCK_BYTES, BLOCK_WORDS = 48_000_000, 1_000_000
@@ -163,7 +163,7 @@ def counted(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame
         yield from words()
 
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text), F.coalesce(train, F.lit(False)))
-    return rows.mapInArrow(run, "block long, doc_id long, train boolean, tokens long, ids binary, times binary, local int, word string, c long")
+    return rows.mapInArrow(tidy(run), "block long, doc_id long, train boolean, tokens long, ids binary, times binary, local int, word string, c long")
 
 
 def fitted(words: DataFrame, documents: int, path: str, rounds: int, smooth: float = 0.1) -> np.ndarray:
@@ -183,7 +183,7 @@ def fitted(words: DataFrame, documents: int, path: str, rounds: int, smooth: flo
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "uses"])
 
-        got = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        got = words.where("c > 0").select("word", "c").mapInArrow(tidy(run), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
         uses = np.zeros(len(p))
         uses[got["piece"].to_numpy()] = got["uses"].to_numpy()
         uses[-1] = documents
@@ -224,7 +224,7 @@ def score(docs: DataFrame, vocabulary: str, train: Column, doc_id: str = "doc_id
                 value[own] = forward(pieces_of(vocabulary), chars, sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=["word", "c", "p"])
 
-    known = words.select("word", "c").mapInArrow(log_p, "word string, c long, p double")
+    known = words.select("word", "c").mapInArrow(tidy(log_p), "word string, c long, p double")
     answers = asked.drop("c").join(known, "word").select(F.col("block").alias("of"), "local", "c", "p")
     blocks = rows.where(F.col("word").isNull()).select("block", "doc_id", "train", "tokens", "ids", "times")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -7,6 +7,7 @@ seed: all of them as often as the whole passes say, and some once more.
 """
 
 from collections import deque
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,15 +81,17 @@ def flow(patterns: dict[Key, int], quotas: dict[str | None, int], times: int) ->
 
 
 def chosen(rows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """The rows, in the drawn order, whose sizes come to no more than their pattern's gap, those too large left out.
+    """The rows that aren't larger than their pattern's gap, with `new` set for those, in the drawn order, whose sizes
+    come to no more than the gap.
 
     The running sum is made in lots, so that a pattern with very many rows isn't one task."""
-    open_ = rows.join(gaps, "pattern").where((F.col("size") > 0) & (F.col("size") <= F.col("gap"))).withColumn("lot", F.shiftright("draw", 52))
+    # gaps has a row for a pattern, as the driver has.
+    open_ = rows.join(F.broadcast(gaps), "pattern").where((F.col("size") > 0) & (F.col("size") <= F.col("gap"))).withColumn("lot", F.shiftright("draw", 52))
     lot = open_.groupBy("pattern", "lot").agg(F.sum("size").alias("own"))
     before = lot.select("pattern", "lot", (F.sum("own").over(Window.partitionBy("pattern").orderBy("lot")) - F.col("own")).alias("before"))
-    open_ = open_.join(before, ["pattern", "lot"])
     within = F.sum("size").over(Window.partitionBy("pattern", "lot").orderBy("draw", "row").rowsBetween(Window.unboundedPreceding, 0))
-    return open_.withColumn("sum", F.col("before") + within).where(F.col("sum") <= F.col("gap")).select("row", "pattern", "size")
+    summed = open_.withColumn("within", within).join(before, ["pattern", "lot"])
+    return summed.select("row", "pattern", "size", "draw", (F.col("before") + F.col("within") <= F.col("gap")).alias("new"))
 
 
 def word_count(text: Column) -> Column:
@@ -121,18 +124,24 @@ def mix(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "t
     plan = [(list(p), min(times, amounts[p] // size) if size else 0, amounts[p]) for p, size in patterns.items()]
     plan = [(p, k, amount - k * patterns[tuple(p)]) for p, k, amount in plan]
     passes = spark.createDataFrame(plan, "pattern array<string>, passes long, gap long")
-    gaps, picked = passes.where("gap > 0").select("pattern", "gap"), None
+    gaps, rest, picked = {tuple(p): gap for p, _, gap in plan}, rows.select("row", "pattern", "size", "draw"), []
     for _ in range(1 + fills):
-        left = rows if picked is None else rows.join(picked.select("row"), "row", "left_anti")
-        more = cut(chosen(left.select("row", "pattern", "size", "draw"), gaps))
-        picked = more if picked is None else picked.union(more)
-        used = more.groupBy("pattern").agg(F.sum("size").alias("used"))
-        gaps = cut(gaps.join(used, "pattern", "left").select("pattern", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
-        if more.isEmpty() or gaps.isEmpty():
+        open_ = [(list(p), gap) for p, gap in gaps.items() if gap > 0]
+        if not open_:
             break
-    extra = picked.select("row", F.lit(1).alias("extra"))
-    taken = rows.join(passes.select("pattern", "passes"), "pattern").join(extra, "row", "left")
-    taken = taken.select("doc_id", "pattern", "size", (F.col("size") * (F.col("passes") + F.coalesce("extra", F.lit(0)))).alias("taken"), (F.col("passes") + F.coalesce("extra", F.lit(0))).alias("copies"))
+        # What isn't taken and fits what is left of a gap goes on, so later passes are small.
+        made = cut(chosen(rest, spark.createDataFrame(open_, "pattern array<string>, gap long")))
+        used = made.where("new").groupBy("pattern").agg(F.sum("size").alias("used")).collect()  # a row for each pattern at most
+        if not used:
+            break
+        picked.append(made.where("new").select("row", F.lit(1).cast("long").alias("extra")))
+        rest = made.where("NOT new").drop("new")
+        for r in used:
+            gaps[tuple(r["pattern"])] -= r["used"]
+    taken = rows.join(F.broadcast(passes.select("pattern", "passes")), "pattern")
+    taken = taken.join(reduce(DataFrame.union, picked), "row", "left") if picked else taken.withColumn("extra", F.lit(0).cast("long"))
+    copies = F.col("passes") + F.coalesce("extra", F.lit(0))
+    taken = taken.select("doc_id", "pattern", "size", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
     return taken, spark.createDataFrame(list(zip(names, sizes, wanted, strict=True)), "source string, source_size long, target double")
 
 

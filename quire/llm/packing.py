@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut, lean, tidy
-from quire.llm.words import Known, chunks
+from quire.llm.words import Known, chunks, gathered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: ASCII marks that are no part of a contraction: at the end of a word they are a token run of their own.
@@ -75,14 +75,9 @@ class Words:
         """Lower case changes nothing but the strings of special tokens; texts that may hold one go whole."""
         special = pc.fill_null(pc.match_substring(texts, "<|"), False)
         for c in chunks(pc.if_else(special, "", texts)):
-            table = pa.array(self.known.of(c.words.cast(pa.binary()).to_pylist()), pa.large_binary())
-            took = table.take(pa.array(c.index))
-            _, offsets, data = took.buffers()
-            ends = np.frombuffer(offsets, np.int64, len(took) + 1)[c.bounds]
-            view = memoryview(data) if data is not None else memoryview(b"")
-            whole = special.slice(c.first, len(ends) - 1).to_pylist()
-            for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
-                yield self.encode([texts[c.first + i].as_py()])[0] if whole[i] else view[a:b]
+            whole = special.slice(c.first, len(c.bounds) - 1).to_pylist()
+            for i, ids in enumerate(gathered(c, self.known.of(c.words.cast(pa.binary()).to_pylist()))):
+                yield self.encode([texts[c.first + i].as_py()])[0] if whole[i] else ids
 
 
 @cache

@@ -18,7 +18,8 @@ def op1_weak_supervision_pii(spark, sf_dir):
     found = stored(pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text"))
     found = found.withColumn("all", pii.accepted(pii.fit(found), F.col("base"), F.col("candidates"), 0.5))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("all")).alias("spans"))
+    more = [F.size(F.filter("all", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS if k not in pii.BASE]
+    return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("all")).alias("spans"), *more, F.size("all").cast("long").alias("n_spans"))
 
 
 def op2_best_two_fit(spark, sf_dir):
@@ -60,8 +61,8 @@ def op7_subword_lattice(spark, sf_dir):
 def op8_flow_mix(spark, sf_dir):
     taken, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     own = taken.withColumn("source", F.element_at("pattern", 1))
-    # A null source is a source too.
-    return own.join(sources, own["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken")
+    # A null source is a source too. The driver holds the table of sources.
+    return own.join(F.broadcast(sources), own["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_random_indexing_quality(spark, sf_dir):

@@ -88,6 +88,16 @@ def hashes(words: pa.Array, table: np.ndarray) -> np.ndarray:
     return mixed(out + sizes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def gathered(c: Chunk, values: list[bytes]) -> Iterator[memoryview]:
+    """For each text of a chunk, what `values` has for its words, one after another. values: bytes for each distinct word."""
+    took = pa.array(values, pa.large_binary()).take(pa.array(c.index))
+    _, offsets, data = took.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(took) + 1)[c.bounds].tolist()
+    view = memoryview(data) if data is not None else memoryview(b"")
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield view[a:b]
+
+
 class Known:
     """What was made of words, by word, of the last words met: two generations, of which the older one goes when the
     younger has reached `most` bytes; a word that is asked for again moves to the younger."""
