@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard, mixing, packing, pii, quality
-from quire.llm.common import stored
+from quire.llm.common import WORD, stored
 from quire.llm.queries import tokenizer_file
 from quire.sources import table
 
@@ -24,13 +24,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id.
-
-    Of rows that repeat an id the one with the least text stays; a document without an id is in no group and stays."""
-    heads = jaccard.link(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Of each group of near duplicates the document with the least id, of rows without an id the one whose text has the
+    least hash; rows that repeat id and text count as copies. Documents without words are in no group and stay."""
+    linked = jaccard.link(docs, mark=F.xxhash64("text")).where(F.col("class").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    heads = linked.groupBy("class").agg(F.min(order).alias("h")).select(F.col("h.doc_id").alias("head id"), F.col("h.mark").alias("head mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("head id")) & (F.xxhash64("text") == F.col("head mark"))
+    kept = docs.where(F.regexp_like("text", F.lit(WORD))).join(heads, same, "left_semi")
+    again = linked.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("head id"), F.col("mark").alias("head mark"))
     rest = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("row"))
-    return kept.select("doc_id", "row.*").select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    several = kept.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("head mark")).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    return kept.join(again, same, "left_anti").union(several).union(docs.where(~F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained models and packing can't be written in SQL; tests hold the stages against brute force.
+#: Trained models and packing can't be written in SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
