@@ -73,3 +73,29 @@ def page_text(first: Column, last: Column) -> Column:
 
 def cost_text(usd: Column) -> Column:
     return F.when(usd.isNull(), "unknown").when(usd < 0.01, "under $0.01").otherwise(F.concat(F.lit("≈ $"), F.format_string("%.2f", usd)))
+
+
+def inline_math(markdown: Column | str) -> Column:
+    r"""\( and \) as dollar signs, and dollar signs of the text escaped."""
+    return F.regexp_replace(F.regexp_replace(markdown, r"(?<!\\)\$", r"\\\$"), r"\\[()]", r"\$")
+
+
+def document_wording(title: Column | str, text: Column | str) -> Column:
+    """What is embedded of an item; a blank title is none."""
+    t = F.col(title) if isinstance(title, str) else title
+    named = F.when(F.trim(F.coalesce(t, F.lit(""))) == "", "none").otherwise(t)
+    return F.concat(F.lit("title: "), named, F.lit(" | text: "), text)
+
+
+def question_wording(question: Column | str) -> Column:
+    return F.concat(F.lit("task: search result | query: "), question)
+
+
+def cleaned(text: Column | str) -> Column:
+    """A string of a reply without characters that show nothing and without spaces at its ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "­\\s?", ""), _INVISIBLE, ""))
+
+
+def code_lines(code: Column | str) -> Column:
+    """Code without spaces at the ends of its lines and without empty lines at its end."""
+    return F.regexp_replace(F.regexp_replace(code, r"(?m)[ \t]+$", ""), r"\n+\z", "")

@@ -24,3 +24,19 @@ def spending(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -> D
 def once(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """Rows by content id, replays left out."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def recent(stream: DataFrame, width: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
+    """How many events each job had in each window."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "job_id").agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), "job_id", "events")
+
+
+def rising(stream: DataFrame) -> DataFrame:
+    """(job_id, overall): each job's greatest progress so far; in output mode update a row comes only for jobs with new
+    events, and never falls. stream: (job_id, overall, ts)."""
+    return stream.groupBy("job_id").agg(F.max("overall").alias("overall"))
+
+
+def append_log(stream: DataFrame, folder: str, checkpoint: str):
+    """Writes each row once to a log of lines of JSON, across restarts with the same checkpoint; takes what is there and ends."""
+    return stream.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(folder)
