@@ -150,13 +150,18 @@ def neighbours_depth2(lib: Library, concept: int, limit: int = 100) -> DataFrame
 
 
 def shortest_path(lib: Library, start: int, end: int, most: int = 4) -> DataFrame:
-    """(path): the concepts on the shortest way from start to end, of `most` relations at most and in any direction;
-    of equal ones the least. Each step keeps one path for each concept it reaches and drops those reached before."""
-    steps = both_ways(lib).distinct()
-    seen = lib.concept.where(F.col("concept_id") == start).select(F.col("concept_id").alias("at"), F.array("concept_id").alias("path"))
-    frontier, found = seen, seen
+    """(path): the relations (from_id, to_id, type) on the shortest way from start to end, of `most` at most, each in its
+    own direction but taken in any; of equal ways the least. Each step keeps one way for each concept it reaches and
+    drops those reached before. The same concept twice is an error."""
+    if start == end:
+        raise ValueError("a path needs two concepts")
+    edge = F.struct("from_id", "to_id", "type").alias("edge")
+    forth = lib.relation.select(F.col("from_id").alias("concept_id"), F.col("to_id").alias("other"), edge)
+    steps = forth.union(lib.relation.select("to_id", "from_id", edge))
+    first = lib.concept.where(F.col("concept_id") == start).select(F.col("concept_id").alias("at"))
+    frontier = found = first.select("at", F.array().cast(f"array<{steps.schema['edge'].dataType.simpleString()}>").alias("path"))
     for _ in range(most):
-        further = frontier.join(steps, F.col("at") == F.col("concept_id")).select(F.col("other").alias("at"), F.concat("path", F.array("other")).alias("path"))
+        further = frontier.join(steps, F.col("at") == F.col("concept_id")).select(F.col("other").alias("at"), F.concat("path", F.array("edge")).alias("path"))
         frontier = further.join(found.select("at"), "at", "left_anti").groupBy("at").agg(F.min("path").alias("path"))
         found = found.union(frontier)
     return found.where(F.col("at") == end).select("path")

@@ -155,9 +155,13 @@ def neighbours_depth2(lib, *_):
     return graph.neighbours_depth2(lib, 7)
 
 
-@query()
+@query(""", steps AS (SELECT from_id AS a, to_id AS b, ROW(from_id, to_id, type) AS edge FROM relation UNION ALL SELECT to_id, from_id, ROW(from_id, to_id, type) FROM relation),
+    w1 AS (SELECT b, [edge] AS path FROM steps WHERE a = 7), w2 AS (SELECT s.b, list_append(path, edge) AS path FROM w1 JOIN steps s ON s.a = w1.b), w3 AS (SELECT s.b, list_append(path, edge) AS path FROM w2 JOIN steps s ON s.a = w2.b),
+    w4 AS (SELECT s.b, list_append(path, edge) AS path FROM w3 JOIN steps s ON s.a = w3.b), way AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4)
+    SELECT array_to_string(list_transform(path, lambda e: e[1] || ' ' || e[2] || ' ' || e[3]), ', ') AS path FROM way WHERE b = 52 ORDER BY len(path), path LIMIT 1""")
 def shortest_path(lib, *_):
-    return graph.shortest_path(lib, 7, 52)
+    edge = lambda e: F.concat_ws(" ", e["from_id"].cast("string"), e["to_id"].cast("string"), e["type"])
+    return graph.shortest_path(lib, 7, 52).select(F.array_join(F.transform("path", edge), ", ").alias("path"))
 
 
 @query("SELECT d.doc_id, title, media, category, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("chunk", "formula", "figure", "table", "code")) + " FROM document d LEFT JOIN item i ON d.doc_id = i.doc_id GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
@@ -30,14 +31,18 @@ def test_texts(spark):
 def shortest(relations, a, b, spark):
     concepts = spark.range(8).withColumnRenamed("id", "concept_id")
     rel = spark.createDataFrame([(x, y, "ASSUMES", None) for x, y in relations], "from_id long, to_id long, type string, item_id long")
-    return [r.path for r in graph.shortest_path(Library(None, None, concepts, None, rel), a, b).collect()]
+    return [[(e.from_id, e.to_id) for e in r.path] for r in graph.shortest_path(Library(None, None, concepts, None, rel), a, b).collect()]
 
 
 def test_shortest_path_takes_the_least_of_equal_ones_in_any_direction(spark):
     edges = [(0, 2), (2, 3), (1, 0), (1, 3), (3, 4), (4, 5), (5, 6), (6, 7)]
-    assert shortest(edges, 0, 3, spark) == [[0, 1, 3]]
-    assert shortest(edges, 0, 5, spark) == [[0, 1, 3, 4, 5]]
+    # Each relation keeps its own direction, and of equal ways the one whose list of relations is least counts.
+    assert shortest(edges, 0, 3, spark) == [[(0, 2), (2, 3)]]
+    assert shortest(edges, 3, 0, spark) == [[(1, 3), (1, 0)]]
+    assert shortest(edges, 0, 5, spark) == [[(0, 2), (2, 3), (3, 4), (4, 5)]]
     assert shortest(edges, 0, 7, spark) == []
+    with pytest.raises(ValueError):
+        shortest(edges, 3, 3, spark)
 
 
 def packed(paragraphs, tokens):
