@@ -3,8 +3,8 @@
 Patterns find exact spans of four kinds, which always stay, and candidates of these and other kinds. Labelers vote on
 each candidate for, against or not at all: its form, a gazetteer, the words around it, what touches it. How often each
 pattern of votes occurs is a table of bounded size; expectation-maximisation on it estimates how reliable each labeler
-is, and so how likely each pattern is personal data. A logistic model of kind, votes and length, trained on these
-probabilities, decides which candidates are added as spans.
+is, and so how likely each pattern is personal data. A logistic model of kind, votes, length and the characters that a
+candidate is made of, which no labeler sees, is trained on these probabilities and decides which candidates are added.
 """
 
 import math
@@ -27,7 +27,7 @@ PATTERNS = {
 #: Further kinds, found as candidates only. The value follows what a lookbehind can hold, so a match is the span.
 CANDIDATES = {
     "secret": r"""(?<=(?i:token|secret|password|passwd|apikey|api_key|access_key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_+/.=-]{8,}+""",
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\s?[\[({]\s?at\s?[\])}]\s?[a-z0-9-]{1,63}+(?:\s?[\[({]\s?dot\s?[\])}]\s?[a-z0-9-]{1,63}+)+",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\s?[\[({]\s?at\s?[\])}]\s?[a-z0-9-]++(?:\s?[\[({]\s?dot\s?[\])}]\s?[a-z0-9-]++)+",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -92,7 +92,8 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def candidate(kind: str, span: Column, text: Column, exact: Column) -> Column:
-    """The span with its labelers' votes, 1, 0 or -1, and the class of its length."""
+    """The span with its labelers' votes, 1, 0 or -1, the class of its length and that of its characters: the share of
+    digits in quarters, and whether there are capitals and marks."""
     before = F.lower(F.substr(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40))))
     left, right = F.substr(text, span["start"], F.lit(1)), F.substr(text, span["stop"] + 1, F.lit(1))
     touched = F.when(span["start"] > 0, left.rlike("[A-Za-z0-9]")).otherwise(False) | right.rlike("[A-Za-z0-9]")
@@ -105,14 +106,18 @@ def candidate(kind: str, span: Column, text: Column, exact: Column) -> Column:
         F.when(touched | (one_digit if kind in ("card", "phone", "ssn") else F.lit(False)), -1).otherwise(1),
     )
     size = F.least(F.floor(F.log2((span["stop"] - span["start"]).cast("double"))), F.lit(7)).cast("int")
-    return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(votes, LABELERS, strict=True)), size.alias("size"))
+    share = F.least(F.floor(F.length(digits(span["value"])) * 4 / F.greatest(F.length(span["value"]), F.lit(1))), F.lit(3)).cast("int")
+    shape = share * 4 + span["value"].rlike(r"\p{Lu}").cast("int") * 2 + span["value"].rlike(r"[^\p{L}\p{N}]").cast("int")
+    return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(votes, LABELERS, strict=True)), size.alias("size"), shape.alias("shape"))
 
 
-_CANDIDATE = "array<struct<start:int,stop:int,kind:string," + ",".join(f"{n}:int" for n in LABELERS) + ",size:int>>"
+_CANDIDATE = "array<struct<start:int,stop:int,kind:string," + ",".join(f"{n}:int" for n in LABELERS) + ",size:int,shape:int>>"
 
 
 def spans(docs: DataFrame, text: str, names: tuple[str, str] = ("base", "candidates")) -> DataFrame:
-    """docs with two columns: base spans (start, order, stop, kind), sorted, and candidates with votes, sorted."""
+    """docs with two columns: base spans (start, order, stop, kind), sorted, and candidates with votes, sorted.
+
+    Null texts count as empty and have none, long texts are read whole; columns of these two names are replaced."""
     base, more = names
     t = F.coalesce(F.col(text), F.lit(""))
     given = {
@@ -165,13 +170,13 @@ def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 60) -> d
     return half
 
 
-def classifier(rows: dict[tuple[str, tuple[int, ...], int], float], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
+def classifier(rows: dict[tuple[str, tuple[int, ...], int, int], float], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
     """Weights by feature of a logistic model, trained on how likely each pattern of votes is."""
     votes: dict[tuple[int, ...], float] = {}
-    for (_, p, _), n in rows.items():
+    for (_, p, _, _), n in rows.items():
         votes[p] = votes.get(p, 0) + n
     likely, whole = reliabilities(votes), sum(rows.values()) or 1
-    features = {r: ["one", f"kind {r[0]}", f"size {r[2]}", *(f"{n} {v}" for n, v in zip(LABELERS, r[1], strict=True))] for r in rows}
+    features = {r: ["one", f"kind {r[0]}", f"size {r[2]}", f"shape {r[3]}", *(f"{n} {v}" for n, v in zip(LABELERS, r[1], strict=True))] for r in rows}
     w = {f: 0.0 for fs in features.values() for f in fs}
     for _ in range(steps):
         step = {f: -decay * x for f, x in w.items()}
@@ -184,21 +189,23 @@ def classifier(rows: dict[tuple[str, tuple[int, ...], int], float], steps: int =
 
 
 def fit(found: DataFrame, candidates: str = "candidates") -> dict[str, float]:
-    """The classifier's weights, from how often each kind, pattern of votes and class of length occurs: at most
-    8 x 81 x 8 rows, whatever the input."""
+    """The classifier's weights, from how often each kind, pattern of votes and class of length and characters occurs:
+    at most 8 x 81 x 8 x 16 rows, whatever the input. An empty table gives weights of 0."""
     c = found.select(F.explode(candidates).alias("c")).select("c.*")
-    got = c.groupBy("kind", *LABELERS, "size").count().orderBy("kind", *LABELERS, "size").collect()
-    return classifier({(r["kind"], tuple(r[n] for n in LABELERS), r["size"]): float(r["count"]) for r in got})
+    by = ("kind", *LABELERS, "size", "shape")
+    got = c.groupBy(*by).count().orderBy(*by).collect()
+    return classifier({(r["kind"], tuple(r[n] for n in LABELERS), r["size"], r["shape"]): float(r["count"]) for r in got})
 
 
 def accepted(weights: dict[str, float], base: Column, candidates: Column, least: float) -> Column:
-    """Base spans and the candidates whose probability is `least` or more and that no base span holds, sorted, each once."""
+    """Base spans and the candidates whose probability is `least` or more and that no base span holds, sorted, each once.
+    Null arrays give null; without weights each candidate is as likely as not."""
     table = F.create_map(*(F.lit(x) for f, w in (weights or {"one": 0.0}).items() for x in (f, float(w))))
     weight = lambda f: F.coalesce(F.try_element_at(table, f), F.lit(0.0))
     order = lambda kind: F.array_position(F.array(*(F.lit(k) for k in KINDS)), kind).cast("int") - 1
 
     def sure(c: Column) -> Column:
-        z = weight(F.lit("one")) + weight(F.concat(F.lit("kind "), c["kind"])) + weight(F.concat(F.lit("size "), c["size"].cast("string")))
+        z = weight(F.lit("one")) + weight(F.concat(F.lit("kind "), c["kind"])) + weight(F.concat(F.lit("size "), c["size"].cast("string"))) + weight(F.concat(F.lit("shape "), c["shape"].cast("string")))
         for n in LABELERS:
             z = z + weight(F.concat(F.lit(f"{n} "), c[n].cast("string")))
         return z >= math.log(least / (1 - least))

@@ -17,8 +17,8 @@ def tokenizer_file(name="word_bpe_49k.json"):
 def op1_weak_supervision_pii(spark, sf_dir):
     found = stored(pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text"))
     found = found.withColumn("all", pii.accepted(pii.fit(found), F.col("base"), F.col("candidates"), 0.5))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    more = [F.size(F.filter("all", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS if k not in pii.BASE]
+    count = lambda kind, of="base": F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    more = [count(k, "all") for k in pii.KINDS if k not in pii.BASE]
     return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("all")).alias("spans"), *more, F.size("all").cast("long").alias("n_spans"))
 
 
