@@ -85,21 +85,21 @@ def need(n: Column, parts: int, of: int) -> Column:
     return F.floor((n * parts + of - 1) / of)
 
 
-def prefixes(docs: DataFrame, doc_id: str, text: str, n: int, often: tuple[np.ndarray, np.ndarray], parts: int, of: int) -> DataFrame:
-    """(doc_id, n, key, g, prefix): the set's size and digest, and the prefix and its group. A task gives a group's
+def prefixes(docs: DataFrame, doc_id: str, text: str, n: int, often: tuple[np.ndarray, np.ndarray], parts: int, of: int, mark: Column) -> DataFrame:
+    """(doc_id, mark, n, key, g, prefix): the set's size and digest, and the prefix and its group. A task gives a group's
     prefix once. The high bits of g tell the share of n-grams that aren't frequent, so the least g of some groups is
     the one made most of frequent n-grams. Documents without n-grams have n 0 and nulls."""
     sent = docs.sparkSession.sparkContext.broadcast(often)  # at most FREQUENT pairs of numbers
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("g", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("g", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times = sent.value
         given: set[bytes] = set()
         for batch in batches:
             out, held = [], 0
-            for i, s in zip(batch.column(0).to_pylist(), ngrams(batch.column(1), n), strict=True):
+            for i, m, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ngrams(batch.column(2), n), strict=True):
                 if not len(s):
-                    out.append((i, 0, None, None, None))
+                    out.append((i, m, 0, None, None, None))
                     continue
                 size = len(s) - -(-parts * len(s) // of) + 1
                 place = np.minimum(np.searchsorted(grams, s), max(len(grams) - 1, 0))
@@ -114,7 +114,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, n: int, often: tuple[np.nd
                 if len(given) > GIVEN:
                     given.clear()
                 given.add(name)
-                out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), g, None if seen else first.view(np.int64)))
+                out.append((i, m, len(s), xxhash.xxh3_128_digest(s.tobytes()), g, None if seen else first.view(np.int64)))
                 held += 0 if seen else len(first)
                 if held > COUNTED:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
@@ -122,7 +122,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, n: int, often: tuple[np.nd
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return lean(docs.select(F.col(doc_id).cast("long"), F.col(text))).mapInArrow(tidy(run), "doc_id long, n int, key binary, g long, prefix array<long>")
+    return lean(docs.select(F.col(doc_id).cast("long"), mark.cast("long"), F.col(text))).mapInArrow(tidy(run), "doc_id long, mark long, n int, key binary, g long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -184,9 +184,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, parts: int = 4, of: int = 5) -> DataFrame:
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, parts: int = 4, of: int = 5, mark: Column | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs: the size of its set of word n-grams, and the least
-    doc_id that links reach, its own included. Two documents are linked when their overlap is parts / of or more.
+    doc_id that links reach, its own included. With mark, a column of whole numbers, it comes too, and `class`, a number
+    of each set of rows that links join, null where a row has no n-gram: ids that repeat don't tell rows apart. Two documents are linked when their overlap is parts / of or more.
 
     A-Z count as a-z, words are parted by ASCII white space. A text of fewer than n words is one n-gram of all of
     them; null and empty texts have none and no links; long texts are read whole. Every row gets a row, repeated ids
@@ -195,7 +196,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
 
     A group is named by 56 bits of its digest; two that share a name count as one group of both, which loses no link."""
     often = frequent(docs, text, n)
-    rows = stored(prefixes(docs, doc_id, text, n, often, parts, of))
+    rows = stored(prefixes(docs, doc_id, text, n, often, parts, of, F.lit(None) if mark is None else mark))
     named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("g").alias("g"))
     nodes = cut(named.withColumn("node", F.monotonically_increasing_id()))
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("members"))
@@ -253,5 +254,6 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     links = links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))).union(more)
     comps = nodes.select("key", "node", "least").join(components(nodes, links), "node", "left").select("key", "least", F.coalesce("comp", "node").alias("comp"))
     least_of = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
-    final = comps.join(least_of, "comp").select("key", "component_id")
-    return rows.select("doc_id", "n", "key").join(final, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = comps.join(least_of, "comp").select("key", "component_id", "comp")
+    more = [] if mark is None else ["mark", F.col("comp").alias("class")]
+    return rows.select("doc_id", "mark", "n", "key").join(final, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
