@@ -59,6 +59,14 @@ def tidy(run: Callable) -> Callable:
     return own
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with a mark behind it for as long as one of the columns has it, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "'"
+    return name
+
+
 def bytes_of(size: str) -> int:
     """Of a size as Spark's settings give it: a number, with b, k, m or g."""
     number, unit = re.fullmatch(r"([0-9]+)([bkmg]?)b?", size.strip().lower()).groups()
