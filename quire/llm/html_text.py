@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import tidy
+from quire.llm.common import fresh, tidy
 
 # Element names of HTML by what they do.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object")
@@ -174,7 +174,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", page: str = "html", mo
     most: labelled pages that the weights are counted on."""
     sent = pages.sparkSession.sparkContext.broadcast(weights(pages, page_id, page, most))  # a bounded table of numbers
     kept = [c for c in pages.columns if c not in (page, text_column)]
-    rows = pages.select(*kept, F.col(page).alias("page of " + text_column))
+    rows = pages.select(*kept, F.col(page).alias(fresh("page of " + text_column, kept)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + f", `{text_column}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

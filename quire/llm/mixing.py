@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, cut
+from quire.llm.common import WORD, cut, fresh
 
 Key = tuple[str | None, ...]
 
@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str =
 
     Rows that share both id and size are all taken as often as the one of them that is taken most."""
     taken, _ = mix(docs, sources, doc_id, text, **options)
-    id_, size, copies = (f"{c} in the mix" for c in ("id", "size", "copies"))
+    id_, size, copies = (fresh(f"{c} in the mix", docs.columns) for c in ("id", "size", "copies"))
     often = taken.groupBy(F.col("doc_id").alias(id_), F.col("size").alias(size)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
     rows = docs.join(often, F.col(doc_id).eqNullSafe(F.col(id_)) & (word_count(F.col(text)) == F.col(size)))
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

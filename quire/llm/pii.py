@@ -13,7 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import fresh, stored
 
 BASE = ("email", "ip", "card", "phone")
 # Runs are taken whole (possessive), and begin where a run begins or a match has ended, so long runs cost no retries.
@@ -119,28 +119,31 @@ def spans(docs: DataFrame, text: str, names: tuple[str, str] = ("base", "candida
 
     Null texts count as empty and have none, long texts are read whole; columns of these two names are replaced."""
     base, more = names
+    mark = "found"
+    while any(c.lower().startswith(mark) for c in docs.columns):  # so no column of docs has one of the names below
+        mark += "'"
     t = F.coalesce(F.col(text), F.lit(""))
     given = {
         "email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": F.contains(t, F.lit("+")),
         "secret": F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")), "at": t.rlike(r"[\[({]\s?[aA][tT]\s?[\])}]"), "digits": t.rlike("[0-9]"), "title": t.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña)\b"),
     }
-    raw = {f"{base} {k}": located(t, PATTERNS[k], given[k]) for k in BASE}
+    raw = {f"{mark} {base} {k}": located(t, PATTERNS[k], given[k]) for k in BASE}
     when = {"secret": "secret", "email": "at", "phone": "digits", "ssn": "digits", "iban": "digits", "name": "title"}
-    raw |= {f"{more} {k}": located(t, p, given[when[k]]) for k, p in CANDIDATES.items()}
+    raw |= {f"{mark} {more} {k}": located(t, p, given[when[k]]) for k, p in CANDIDATES.items()}
     df = docs.withColumns(raw)
 
     def exact(kind: str) -> Column:
-        own = F.filter(f"{base} {kind}", lambda x: valid(kind, x["value"]))
+        own = F.filter(F.col(f"`{mark} {base} {kind}`"), lambda x: valid(kind, x["value"]))
         return F.transform(own, lambda x: F.struct(x["start"].alias("start"), F.lit(BASE.index(kind)).alias("order"), x["stop"].alias("stop"), F.lit(kind).alias("kind")))
 
     def judged(kind: str) -> Column:
-        own = F.col(f"{base} {kind}")
+        own = F.col(f"`{mark} {base} {kind}`")
         if kind == "card":  # short runs of digits are no candidates
             own = F.filter(own, lambda x: F.length(digits(x["value"])).between(12, 19))
         return F.transform(own, lambda x: candidate(kind, x, t, valid(kind, x["value"])))
 
     def further(kind: str) -> Column:
-        return F.transform(f"{more} {kind}", lambda x: candidate(kind, x, t, F.lit(kind in ("secret", "ssn", "iban"))))
+        return F.transform(F.col(f"`{mark} {more} {kind}`"), lambda x: candidate(kind, x, t, F.lit(kind in ("secret", "ssn", "iban"))))
 
     votes = [judged(k) for k in BASE] + [further(k) for k in CANDIDATES]
     df = df.withColumns({base: F.array_sort(F.concat(*(exact(k) for k in BASE))), more: F.array_sort(F.concat(*(v.cast(_CANDIDATE) for v in votes)))})
@@ -237,7 +240,7 @@ def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
     """docs with the spans found in a text masked there; a null text stays null, other columns stay as they are.
 
     The spans are found once and stored beside the rows, as the classifier needs them before any is masked."""
-    base, candidates = f"base of {text}", f"candidates of {text}"
+    base, candidates = (fresh(f"{x} of {text}", docs.columns) for x in ("base", "candidates"))
     found = stored(spans(docs, text, (base, candidates)))
     all_ = accepted(fit(found, candidates), F.col(base), F.col(candidates), least)
     return found.withColumn(base, all_).withColumn(text, masked(F.col(text), F.col(base))).select(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import lean, tidy
+from quire.llm.common import fresh, lean, tidy
 from quire.llm.words import chunks, drawn, hashes, mixed, spelled
 
 #: Components of a vector, and how many of an index vector aren't 0.
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_column: str =
     empty texts, which have no words, get the network's value for an empty pool; long texts are read whole."""
     sent = docs.sparkSession.sparkContext.broadcast((replace(model, table=np.zeros((0, DIM))), *model.first_layer()))
     kept = [c for c in docs.columns if c != score_column]
-    docs = docs.select(*kept, F.col(text).alias("text of " + score_column))
+    docs = docs.select(*kept, F.col(text).alias(fresh("text of " + score_column, kept)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[:-1]) + f", `{score_column}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
