@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard, mixing, packing, pii, quality
-from quire.llm.common import WORD, stored
+from quire.llm.common import WORD, fresh, stored
 from quire.llm.queries import tokenizer_file
 from quire.sources import table
 
@@ -19,7 +19,7 @@ LEAST_QUALITY = 0.3
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier doesn't reject; empty texts get a score like others."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.learned())
-    name = "quality score"
+    name = fresh("quality score", docs.columns)
     return quality.score(docs, model, score_column=name).where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
