@@ -85,14 +85,22 @@ def canonical_model(model: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(model, r"\[[^\]]*\]$", ""), r"-[0-9]{8}$", "")
 
 
+#: What is counted of a model's use, and what a million of each costs.
+COUNTERS = ("input", "output", "cache_read", "cache_write")
+
+
 def usage_tally(usage: DataFrame) -> DataFrame:
-    """usage: (model, input, output, reported, estimated)."""
-    return usage.groupBy(canonical_model("model").alias("model")).agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("reported").alias("reported"), F.bool_or("estimated").alias("estimated"))
+    """usage: (model, reported, estimated) and the COUNTERS; a counter that a table lacks is 0."""
+    own = usage.withColumns({c: F.lit(0).cast("long") for c in COUNTERS if c not in usage.columns})
+    sums = [F.sum(c).alias(c) for c in (*COUNTERS, "reported")]
+    return own.groupBy(canonical_model("model").alias("model")).agg(*sums, F.bool_or("estimated").alias("estimated"))
 
 
 def usage_cost(tally: DataFrame, price: DataFrame) -> DataFrame:
-    """(models, usd): null if one model has neither price nor a reported cost; 0 without rows."""
-    own = (F.col("input") * F.col("in_price") + F.col("output") * F.col("out_price")) / 1e6
+    """(models, usd): null if one model has neither price nor a reported cost; 0 without rows. price: (model, in_price,
+    out_price) and, for what is read from and written to caches, read_price and write_price."""
+    named = dict(zip(COUNTERS, ("in_price", "out_price", "read_price", "write_price"), strict=True))
+    own = sum((F.col(c) * F.col(p) for c, p in named.items() if c in tally.columns and p in price.columns), F.lit(0.0)) / 1e6
     each = tally.join(price, "model", "left").withColumn("usd", F.coalesce(own, F.col("reported")))
     return each.agg(F.count("*").alias("models"), F.when(~F.coalesce(F.bool_or(F.col("usd").isNull()), F.lit(False)), F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 6)).alias("usd"))
 
@@ -120,10 +128,6 @@ def decisions_by_rule(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def state_of(stored: Column, finished: Column, converted: Column) -> Column:
-    return F.when(stored, "ingested").when(finished, "converted").when(converted > 0, "partly converted").otherwise("new")
-
-
 def estimate(pages: Column, usd: Column) -> tuple[Column, Column]:
     """Dollars rounded up to the cent after rounding to millionths, and minutes at 28 seconds a page."""
     return F.ceil(F.round(usd * 1e6) / 10000) / 100, F.ceil(pages * 28 / 60)

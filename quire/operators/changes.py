@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import normalised
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those with the same key."""
@@ -28,12 +30,13 @@ def add_relations(relations: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def add_aliases(concepts: DataFrame, new: DataFrame) -> DataFrame:
-    """concepts: (concept_id, normalised_name, aliases); new: (concept_id, alias, seq). Names and known aliases add nothing."""
-    first = new.groupBy("concept_id", "alias").agg(F.min("seq").alias("seq"))
-    listed = first.groupBy("concept_id").agg(F.sort_array(F.collect_list(F.struct("seq", "alias"))).alias("more"))
+    """concepts: (concept_id, normalised_name, aliases); new: (concept_id, alias, seq). An alias whose normalised form is
+    that of the name or of an alias that is there adds nothing; of new ones with one form the first is added."""
+    first = new.groupBy("concept_id", normalised("alias").alias("form")).agg(F.min(F.struct("seq", "alias")).alias("a"))
+    listed = first.groupBy("concept_id").agg(F.sort_array(F.collect_list("a")).alias("more"))
     more = F.coalesce(F.transform("more", lambda x: x["alias"]), F.array().cast("array<string>"))
-    fresh = F.filter(more, lambda a: (a != F.col("normalised_name")) & ~F.array_contains("aliases", a))
-    return concepts.join(listed, "concept_id", "left").withColumn("aliases", F.concat("aliases", fresh)).drop("more")
+    known = lambda a: (normalised(a) == F.col("normalised_name")) | F.exists("aliases", lambda x: normalised(x) == normalised(a))
+    return concepts.join(listed, "concept_id", "left").withColumn("aliases", F.concat("aliases", F.filter(more, lambda a: ~known(a)))).drop("more")
 
 
 def delete_document(table: DataFrame, doc: int) -> DataFrame:

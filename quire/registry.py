@@ -356,9 +356,10 @@ def contents_counts(lib, *_):
     return catalogue.contents_counts(lib)
 
 
-@query("SELECT i.item_id, c.item_id AS by FROM item i JOIN (SELECT item_id, doc_id, unnest(cites) AS label FROM item) c ON i.doc_id = c.doc_id AND i.label = c.label")
+@query("""SELECT i.item_id, c.item_id AS "by", CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END AS excerpt FROM item i JOIN (SELECT item_id, doc_id, unnest(cites) AS label, trim('Item ' || item_id || ' ' || repeat('says so ', CAST(item_id % 50 AS INTEGER))) AS t FROM item) c ON i.doc_id = c.doc_id AND i.label = c.label""")
 def cited_by(lib, spark, sf_dir):
-    return catalogue.cited_by(lib, lib.item.select("item_id", F.lit("").alias("text"))).select("item_id", "by")
+    told = F.concat(F.lit(" Item\n"), F.col("item_id").cast("string"), F.lit("  "), F.repeat(F.lit("says so "), (F.col("item_id") % 50).cast("int")))
+    return catalogue.cited_by(lib, lib.item.select("item_id", told.alias("text")))
 
 
 @query("SELECT item_id, lead(item_id) OVER (PARTITION BY doc_id ORDER BY position) AS next_id FROM item")
@@ -379,23 +380,23 @@ def upsert_documents(lib, spark, *_):
 
 
 # Usage and jobs, from the events.
-USAGE = "WITH u AS (SELECT event_type AS model, CAST(floor(value) AS BIGINT) AS input, CAST(event_id % 100 AS BIGINT) AS output, event_id % 2 = 0 AS estimated FROM events), t AS (SELECT model, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, bool_or(estimated) AS estimated FROM u GROUP BY 1)\n"
+USAGE = "WITH u AS (SELECT event_type AS model, CAST(floor(value) AS BIGINT) AS input, CAST(event_id % 100 AS BIGINT) AS output, event_id % 7 AS cache_read, event_id % 3 AS cache_write, event_id % 2 = 0 AS estimated, CASE WHEN event_id % 5 = 0 THEN 0.25 END AS reported FROM events), t AS (SELECT model, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, sum(reported)::DOUBLE AS reported, bool_or(estimated) AS estimated FROM u GROUP BY 1)\n"
 
 
 def tallied(spark, sf_dir):
-    own = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("-20250101[1m]")).alias("model"), F.floor("value").alias("input"), (F.col("event_id") % 100).alias("output"), F.lit(None).cast("double").alias("reported"), (F.col("event_id") % 2 == 0).alias("estimated"))
+    own = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("-20250101[1m]")).alias("model"), F.floor("value").alias("input"), (F.col("event_id") % 100).alias("output"), (F.col("event_id") % 7).alias("cache_read"), (F.col("event_id") % 3).alias("cache_write"), F.when(F.col("event_id") % 5 == 0, 0.25).alias("reported"), (F.col("event_id") % 2 == 0).alias("estimated"))
     return catalogue.usage_tally(own)
 
 
 @query(USAGE + "SELECT * FROM t", model=False)
 def usage_tally(spark, sf_dir):
-    return tallied(spark, sf_dir).drop("reported")
+    return tallied(spark, sf_dir)
 
 
-@query(USAGE + "SELECT count(*) AS models, round(sum((input * 3.0 + output * 15.0) / 1e6), 6) AS usd FROM t", model=False)
+@query(USAGE + "SELECT count(*) AS models, round(sum((input * 3.0 + output * 15.0 + cache_read * 0.3 + cache_write * 3.75) / 1e6), 6)::DOUBLE AS usd FROM t", model=False)
 def usage_cost(spark, sf_dir):
     t = tallied(spark, sf_dir)
-    return catalogue.usage_cost(t, t.select("model", F.lit(3.0).alias("in_price"), F.lit(15.0).alias("out_price")))
+    return catalogue.usage_cost(t, t.select("model", F.lit(3.0).alias("in_price"), F.lit(15.0).alias("out_price"), F.lit(0.3).alias("read_price"), F.lit(3.75).alias("write_price")))
 
 
 JOBS = "WITH e AS (SELECT event_id, user_id AS job_id, event_type AS stage, round(value / (SELECT max(value) FROM events), 6) AS share, ts FROM events), w AS (SELECT stage, CAST(row_number() OVER (ORDER BY stage) AS INTEGER) AS place, 20 AS weight FROM (SELECT DISTINCT stage FROM e)), p AS (SELECT event_id, job_id, round(((place - 1) * 20 + 20 * share) / 100, 3) AS overall FROM e JOIN w USING (stage))\n"

@@ -121,11 +121,11 @@ def vectors_per_document(spark, sf_dir):
     return item_vectors(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("items"))
 
 
-@query(SCORED + "SELECT s.item_id, i.label, score FROM scored s JOIN item i ON s.item_id = i.item_id WHERE i.label IN ('figure 1', 'figure 2', 'formula 3') AND s.doc_id <> 7 ORDER BY score DESC, s.item_id LIMIT 32")
+@query(SCORED + "SELECT s.item_id, i.label, score FROM scored s JOIN item i ON s.item_id = i.item_id WHERE i.label IN (SELECT label FROM item WHERE item_id IN (368, 421)) AND s.doc_id = 257 ORDER BY score DESC, s.item_id LIMIT 32")
 def labelled_items(lib, spark, sf_dir):
     stored = item_vectors(spark, sf_dir).select("item_id", "vector")
-    own = lib.item.where((F.col("doc_id") != 7) & F.col("label").isin("figure 1", "figure 2", "formula 3")).join(stored, "item_id")
-    return vectors.scored(own, vectors.one(stored, 7)).orderBy(F.desc("score"), "item_id").limit(32).select("item_id", "label", "score")
+    labels = [r.label for r in lib.item.where(F.col("item_id").isin(368, 421)).select("label").collect()]
+    return vectors.labelled(lib.item, stored, vectors.one(stored, 7), 257, labels)
 
 
 # Changes.
@@ -173,6 +173,29 @@ def rejected_mentions(lib, *_):
     return changes.rejected_mentions(new, lib.item, lib.concept)
 
 
+@query("SELECT item_id, doc_id FROM item WHERE doc_id <> 7")
+def items_after_delete(lib, *_):
+    return changes.delete_document(lib.item, 7).select("item_id", "doc_id")
+
+
+ADDED = "WITH new AS (SELECT p_partkey AS concept_id, p_type AS alias, 1 AS seq FROM part UNION ALL SELECT p_partkey, '  ' || lower(p_type) || '!', 2 FROM part UNION ALL SELECT p_partkey, 'Extra ' || p_partkey, 3 FROM part UNION ALL SELECT p_partkey, upper(p_name || '-' || p_partkey), 0 FROM part)\n"
+
+
+@query(ADDED + "SELECT p_partkey AS concept_id, p_brand || ',' || p_type || ',Extra ' || p_partkey AS aliases FROM part", model=False)
+def add_aliases(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    new = [(F.col("p_type"), 1), (F.concat(F.lit("  "), F.lower("p_type"), F.lit("!")), 2), (F.concat(F.lit("Extra "), F.col("p_partkey").cast("string")), 3), (F.upper(F.concat_ws("-", "p_name", F.col("p_partkey").cast("string"))), 0)]
+    rows = part.select(F.col("p_partkey").alias("concept_id"), F.explode(F.array(*(F.struct(a.alias("alias"), F.lit(n).alias("seq")) for a, n in new))).alias("x")).select("concept_id", "x.*")
+    old = part.select(F.col("p_partkey").alias("concept_id"), text.normalised(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("normalised_name"), F.array("p_brand").alias("aliases"))
+    return changes.add_aliases(old, rows).select("concept_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("SELECT from_id, to_id, type, min(item_id) AS item_id FROM (SELECT m.concept_id AS from_id, (m.concept_id + 1) % 50 AS to_id, 'PART_OF' AS type, item_id FROM mention m) GROUP BY ALL")
+def add_relations(lib, *_):
+    told = lib.mention.select(F.col("concept_id").alias("from_id"), ((F.col("concept_id") + 1) % 50).alias("to_id"), F.lit("PART_OF").alias("type"), "item_id", F.col("item_id").alias("seq"))
+    return changes.add_relations(told.drop("seq").limit(0), told)
+
+
 # The catalogue.
 @query("SELECT doc_id FROM document WHERE lower(trim(media)) = 'nation_7' AND list_contains(authors, 'Writer 3') AND list_contains(media_tags, 'nation_7')")
 def author_filter(lib, *_):
