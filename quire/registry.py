@@ -531,9 +531,9 @@ RARITY = PLACES + """, m AS (SELECT doc_id AS section, concept_id, count(*) AS n
         JOIN m a ON a.concept_id = from_id JOIN m b ON b.concept_id = to_id AND a.section = b.section JOIN c ca ON ca.concept_id = from_id JOIN c cb ON cb.concept_id = to_id WHERE a.section % 10 <> 0),
     told AS (SELECT section, count(*) AS n FROM seeded GROUP BY 1),
     -- A section is read in one passage unless its text has a blank line, and no text of the tables has one.
-    plan AS (SELECT f.section, heldout, factor, 1 AS passages, CASE WHEN heldout THEN 0 ELSE CAST(round(3 * factor) AS BIGINT) END AS k, coalesce(n, 0) AS told, CASE WHEN heldout THEN 2 ELSE CAST(round(2 * factor) AS BIGINT) END AS questions,
+    plan AS (SELECT f.section, heldout, factor, CAST(1 AS BIGINT) AS passages, CASE WHEN heldout THEN 0 ELSE CAST(round(3 * factor) AS BIGINT) END AS k, coalesce(n, 0) AS told, CASE WHEN heldout THEN 2 ELSE CAST(round(2 * factor) AS BIGINT) END AS questions,
         coalesce(contains(chr(10) || text || chr(10), chr(10) || '$$' || chr(10)), false) AND CAST('0x' || substr(sha256(CAST(f.section AS VARCHAR)), 1, 16) AS UBIGINT) % 20 = 0 AS picked FROM factors f LEFT JOIN told t ON f.section = t.section LEFT JOIN documents d ON d.doc_id = f.section),
-    planned AS (SELECT section, heldout, round(factor, 9) AS factor, passages, (k + 2) // 3 AS rephrase_wiki, (k + 1) // 3 AS rephrase_lecture, k // 3 AS rephrase_qa, least(k, told) AS entigraph, CASE WHEN NOT heldout AND picked THEN 1 ELSE 0 END AS notation_variant, CASE WHEN NOT heldout AND factor >= 1 THEN 1 ELSE 0 END AS exercise, questions FROM plan)
+    planned AS (SELECT section, heldout, round(factor, 9) AS factor, passages, (k + 2) // 3 AS rephrase_wiki, (k + 1) // 3 AS rephrase_lecture, k // 3 AS rephrase_qa, least(k, told) AS entigraph, CAST(CASE WHEN NOT heldout AND picked THEN 1 ELSE 0 END AS BIGINT) AS notation_variant, CAST(CASE WHEN NOT heldout AND factor >= 1 THEN 1 ELSE 0 END AS BIGINT) AS exercise, questions FROM plan)
 """
 PLANNED = ("rephrase_wiki", "rephrase_lecture", "rephrase_qa", "entigraph", "notation_variant", "exercise")
 RANKED = "ORDER BY factor DESC, substr(sha256(CAST(section AS VARCHAR)), 1, 16), section"
@@ -579,7 +579,7 @@ def plan_totals(lib, spark, sf_dir):
 
 
 @query(RARITY + """, long AS (SELECT section, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['rephrase_wiki', 'rephrase_lecture', 'rephrase_qa', 'notation_variant', 'exercise']) AS kind, unnest([rephrase_wiki, rephrase_lecture, rephrase_qa, notation_variant, exercise]) AS n FROM planned),
-    each AS (SELECT section, pos, kind, 1 AS passage, unnest(range(1, n + 1)) AS version, NULL AS place, NULL AS from_id, NULL AS to_id, NULL AS type FROM long UNION ALL
+    each AS (SELECT section, pos, kind, CAST(1 AS BIGINT) AS passage, unnest(range(1, n + 1)) AS version, NULL AS place, NULL AS from_id, NULL AS to_id, NULL AS type FROM long UNION ALL
         SELECT s.section, 5, 'entigraph', 1, 1, place, from_id, to_id, type FROM seeded s JOIN planned p ON s.section = p.section WHERE place <= entigraph)
     SELECT section, kind, passage, version, coalesce(place, version) AS number, section || ':' || kind || ':' || coalesce(place, version) AS id, from_id, to_id, type, CAST(row_number() OVER (PARTITION BY section ORDER BY pos, coalesce(place, version)) AS INTEGER) AS draft FROM each""")
 def draft_ids(lib, spark, sf_dir):

@@ -41,7 +41,7 @@ def found(lib, spark, sf_dir, reach=search.BALANCED, kind=None, documents=None,
 
 
 WANTED = "doc_id IN (SELECT doc_id FROM document WHERE category = 'book')"
-SEARCHED = 'SELECT CAST(place AS INTEGER) AS place, item_id, doc_id, score, reason, "by" FROM found'
+SEARCHED = 'SELECT CAST(place AS INTEGER) AS place, item_id, doc_id, score, reason, CAST("by" AS INTEGER) AS "by" FROM found'
 
 
 @query(search_sql("true", search.BALANCED, True) + SEARCHED)
