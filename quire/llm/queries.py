@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, html_text, jaccard, lattice, mixing, packing, pii, quality, toxicity, vp_tree
+from quire.llm import ball_tree, html_text, jaccard, lattice, merkle, mixing, packing, pii, quality, toxicity, vp_tree
 from quire.llm.common import stored
 from quire.sources import table
 
@@ -77,9 +77,74 @@ def op10_max_subsequence_html(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op3_chain_toxicity, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html)}
+def op11_merkle_manifest(spark, sf_dir):
+    """Proofs of a copy whose texts have lost their line ends where the id's checksum is even."""
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = [F.col(c) for c in merkle.FIELDS]
+    claimed = merkle.leaf([*fields[:-1], text])
+    return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents"), fields, claimed)).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op3_chain_toxicity, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html, op11_merkle_manifest)}
+
+def _leaf(text):
+    """A leaf's digest in SQL, of documents with this text."""
+    field = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _steps(units, nodes, keys):
+    """What stands left and right of each unit's own node on each level above it, in SQL."""
+    on = " AND ".join(f"u.{k} = a.{k}" for k in keys) or "true"
+    own = "u.i // CAST(pow(3, a.level) AS BIGINT)"
+    side = lambda mark: f"coalesce(string_agg(a.digest, '' ORDER BY a.i) FILTER (WHERE a.i {mark} {own}), '')"
+    by = ", ".join(["u.i", "a.level", *(f"u.{k}" for k in keys)])
+    return f"SELECT {by}, {side('<')} AS l, {side('>')} AS r FROM {units} u JOIN {nodes} a ON {on} AND a.i // 3 = {own} // 3 AND a.n > 1 GROUP BY {by}"
+
+
+#: The unsigned CRC-32 of an id's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, d: list_reduce(list_prepend(xor(c, d), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+                {_leaf("CASE WHEN " + _CRC + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS claimed
+            FROM documents
+        ), u AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d
+        ), a AS (
+            SELECT tree, 0 AS level, i, n, leaf AS digest FROM u
+            UNION ALL
+            SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY tree, level, i // 3, n
+        ), s AS (
+            SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM a WHERE n = 1
+        ), b AS (
+            SELECT 0 AS level, i, n, subroot AS digest FROM s
+            UNION ALL
+            SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY level, i // 3, n
+        ), low AS ({_steps("u", "a", ["tree"])}
+        ), high AS ({_steps("s", "b", [])}
+        ), p AS (
+            SELECT tree, i, level AS k, l, r FROM low
+            UNION ALL
+            SELECT u.tree, u.i, (SELECT count(DISTINCT level) FROM a WHERE a.tree = u.tree AND a.n > 1) + h.level, h.l, h.r
+            FROM u JOIN s ON s.tree = u.tree JOIN high h ON h.i = s.i
+        ), f AS (
+            SELECT tree, i, 0 AS k, claimed AS x FROM u
+            UNION ALL
+            SELECT f.tree, f.i, f.k + 1, sha256(p.l || f.x || p.r) FROM f JOIN p ON p.tree = f.tree AND p.i = f.i AND p.k = f.k
+        ), e AS (
+            SELECT tree, i, max_by(x, k) AS folded_root FROM f GROUP BY tree, i
+        ), q AS (
+            SELECT tree, i, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM p GROUP BY tree, i
+        )
+        SELECT u.doc_id, u.leaf, s.subroot, (SELECT digest FROM b WHERE n = 1) AS root, coalesce(q.proof, sha256('')) AS proof_sha256,
+            e.folded_root, e.folded_root = (SELECT digest FROM b WHERE n = 1) AS verified
+        FROM u JOIN s ON s.tree = u.tree JOIN e ON e.tree = u.tree AND e.i = u.i LEFT JOIN q ON q.tree = u.tree AND q.i = u.i""",
     "op4_ball_tree_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
