@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, html_text, jaccard, lattice, merkle, mixing, packing, pii, quality, toxicity, vp_tree
+from quire.llm import ball_tree, divergence, html_text, jaccard, lattice, merkle, mixing, packing, pii, quality, toxicity, vp_tree
 from quire.llm.common import stored
 from quire.sources import table
 
@@ -85,7 +85,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents"), fields, claimed)).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op3_chain_toxicity, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html, op11_merkle_manifest)}
+def op12_source_divergence_audit(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op3_chain_toxicity, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html, op11_merkle_manifest, op12_source_divergence_audit)}
 
 def _leaf(text):
     """A leaf's digest in SQL, of documents with this text."""
@@ -156,4 +160,37 @@ ORACLE_SQL = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_source_divergence_audit": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), w AS (
+            SELECT id, lang, source, unnest(terms) AS term FROM d
+        ), k AS (
+            SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+        ), c AS (
+            SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term
+        ), v AS (
+            SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang
+        ), n AS (
+            SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source
+        ), g AS (
+            SELECT x.lang, x.source, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN n ON n.lang = x.lang AND n.source = x.source
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 * CAST(coalesce(c.c, 0) + 2 AS HUGEINT) // CAST(g.n + 2 * v.v AS HUGEINT) AS BIGINT) AS p,
+                1 + CAST(1000000000 * CAST(k.c + 2 AS HUGEINT) // CAST(v.n + 2 * v.v AS HUGEINT) AS BIGINT) AS q
+            FROM g JOIN v ON v.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), s AS (
+            SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+        ), t AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM t
+        )
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }
