@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.llm import ball_tree, divergence, html_text, jaccard, lattice, merkle, mixing, packing, pii, quality, toxicity, vp_tree
+from quire.llm import ball_tree, divergence, html_text, jaccard, lattice, merkle, mixing, packing, pii, quality, secrets, toxicity, vp_tree
 from quire.llm.common import stored
 from quire.sources import table
 
@@ -89,7 +89,14 @@ def op12_source_divergence_audit(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op3_chain_toxicity, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html, op11_merkle_manifest, op12_source_divergence_audit)}
+def op13_multipart_secret_scan(spark, sf_dir):
+    spans = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind, of: F.size(F.filter(of, lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    more = [count(k, "all") for k in secrets.KINDS if k not in secrets.BASE]
+    return spans.select(F.col("key").alias("doc_id"), *(count(k, "base") for k in secrets.BASE), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("all")).alias("spans"), *more)
+
+
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_best_two_fit, op3_chain_toxicity, op4_ball_tree_topk, op5_ngram_jaccard_join, op6_vp_tree_neighbours, op7_subword_lattice, op8_flow_mix, op9_random_indexing_quality, op10_max_subsequence_html, op11_merkle_manifest, op12_source_divergence_audit, op13_multipart_secret_scan)}
 
 def _leaf(text):
     """A leaf's digest in SQL, of documents with this text."""
