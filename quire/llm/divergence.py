@@ -10,11 +10,10 @@ language without kept terms, give pairs like others. An empty table gives no row
 arithmetic is in whole numbers and exact while a count is less than 2^53.
 """
 
+import gc
 import heapq
 import pickle
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import lean, stored, tidy
+from quire.llm.words import chunks, spelled
 
-#: A term in lower-cased UTF-8: letters a to z and all bytes of other characters than ASCII.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: For each byte of UTF-8 what it counts as: letters as lower-case ones, other characters than ASCII as they are, the rest
+#: as space.
+LETTERS = np.array([b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)], np.uint8)
 #: Sources in a pass over the kept terms, as blocks of which a pass takes two.
 BLOCK = 2048
 _DOCS = -1  # a leaf's counter of documents; those of sources have numbers from 0
@@ -75,12 +76,12 @@ class Trie:
     def merge(self, part: bytes, number: dict[str, int]) -> None:
         """Adds a part that `parts` has cut from another trie; number: of sources, which grows."""
         names, shared, rest, counters = pickle.loads(part)
-        own = {k: number.setdefault(s, len(number)) for k, s in enumerate(names)} | {_DOCS: _DOCS}
+        own = {k: number.setdefault(s, len(number)) for k, s in names.items()} | {_DOCS: _DOCS}
         path = b""
-        for keep, more, (keys, values) in zip(shared, rest, counters, strict=True):
+        for keep, more, found in zip(shared, rest, counters, strict=True):
             path = path[:keep] + more
             leaf = self.leaf(path)
-            for k, n in zip(keys, values, strict=True):
+            for k, n in found.items():
                 k = own[k]
                 leaf[k] = leaf.get(k, 0) + n
 
@@ -100,54 +101,95 @@ class Trie:
 
 
 def _dumped(part: tuple[list, list, list], names: list[str]) -> bytes:
-    used = sorted({k for leaf in part[2] for k in leaf} - {_DOCS})
-    own = {k: i for i, k in enumerate(used)} | {_DOCS: _DOCS}
-    counters = [([own[k] for k in leaf], list(leaf.values())) for leaf in part[2]]
-    return pickle.dumps(([names[k] for k in used], part[0], part[1], counters), protocol=5)
+    used = set().union(*part[2]) - {_DOCS}
+    return pickle.dumps(({k: names[k] for k in used}, *part), protocol=5)
 
 
 _PARTS = "lang string, prefix binary, part binary"
 _TERMS = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-def counted(docs: DataFrame, depth: int = 3, leaves: int = 150_000) -> DataFrame:
-    """The parts of the tries of docs (lang, source, text, none of them null). A task holds tries of `leaves` terms at
-    most besides one document's, and writes what it has and starts anew beyond."""
+def letters(texts: pa.Array) -> pa.Array:
+    """Texts with spaces for all that is in no term, so that their words are their terms."""
+    raw, ends = spelled(texts)
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(LETTERS[raw])])
 
-    def run(batches):
-        tries, number, terms = {}, {}, 0
-
-        def flush():
-            names, rows = list(number), []
-            for lang, (trie, _) in tries.items():
-                for prefix, part in trie.parts(names, depth):
-                    rows.append((lang, prefix, part))
-                    if len(rows) == 1000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
 
+def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of the values of each."""
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, *(np.bincount(at, v, len(keys)).astype(np.int64) for v in values)
+
+
+def counted(docs: DataFrame, depth: int = 3, most: int = 2_000_000) -> DataFrame:
+    """The parts of the tries of docs (lang, source, text, none of them null). A task tallies the words of chunks of texts
+    by Arrow's kernels; when it has `most` tallies it puts them in tries, writes their parts and starts anew."""
+
+    def run(batches):
+        number, pending, size = {}, [], 0
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-                if lang not in tries:
-                    tries[lang] = (Trie(), {})
-                trie, known = tries[lang]
-                s, before = number.setdefault(source, len(number)), len(known)
-                for term, n in Counter(TERM.findall(text.as_py().lower())).items():
-                    leaf = known.get(term)
-                    if leaf is None:
-                        leaf = known[term] = trie.leaf(term)
-                    leaf[s] = leaf.get(s, 0) + n
-                    leaf[_DOCS] = leaf.get(_DOCS, 0) + 1
-                terms += len(known) - before
-                if terms >= leaves:
-                    yield from flush()
-                    tries, number, terms = {}, {}, 0
-        yield from flush()
-
-    return lean(docs.select("lang", "source", "text")).mapInArrow(tidy(run), _PARTS)
+            pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+            group = np.array([number.setdefault(p, len(number)) for p in pairs], np.int64)
+            for c in chunks(letters(batch.column("text")), lower=False):
+                doc = np.repeat(np.arange(c.first, c.first + len(c.bounds) - 1), np.diff(c.bounds))
+                each, n = summed(doc * len(c.words) + c.index, np.ones(len(doc)))
+                doc, word = np.divmod(each, max(len(c.words), 1))
+                key, n, own = summed(word * len(number) + group[doc], n, np.ones(len(n)))
+                pending.append((c.words, *np.divmod(key, max(len(number), 1)), n, own))
+                size += len(key)
+                if size >= most:
+                    yield from flushed(pending, list(number), depth)
+                    pending, size = [], 0
+        yield from flushed(pending, list(number), depth)
+
+    return lean(docs.select("lang", "source", "text")).mapInArrow(tidy(uncollected(run)), _PARTS)
+
+
+def uncollected(run: Callable) -> Callable:
+    """run without Python's search for cycles, which takes long among a trie's many nodes; they have none."""
+
+    def own(batches):
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return own
+
+
+def flushed(pending: list[tuple], groups: list[tuple[str, str]], depth: int) -> Iterator[pa.RecordBatch]:
+    """The parts of the tries of tallies: distinct words of a chunk, and of each tally the word's place there, the number
+    of its language and source, occurrences and documents."""
+    if not sum(len(p[1]) for p in pending):
+        return
+    coded = pa.concat_arrays([p[0] for p in pending]).dictionary_encode()
+    code, at, word = coded.indices.to_numpy().astype(np.int64), 0, []
+    for words, place, *_ in pending:
+        word.append(code[at + place])
+        at += len(words)
+    # Terms in the order of bytes; langs and sources by numbers.
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    terms, place = coded.dictionary.cast(pa.binary()).take(pa.array(order)).to_pylist(), np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    langs, names = sorted({g[0] for g in groups}), sorted({g[1] for g in groups})
+    lang_of, name_of = (np.array([own.index(g[i]) for g in groups], np.int64) for i, own in ((0, langs), (1, names)))
+    group, n, docs = (np.concatenate([p[k] for p in pending]) for k in (2, 3, 4))
+    key, n, docs = summed((lang_of[group] * len(terms) + place[np.concatenate(word)]) * len(names) + name_of[group], n, docs)
+    term, name = np.divmod(key, len(names))
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    ends, docs = np.append(starts[1:], len(term)).tolist(), np.add.reduceat(docs, starts).tolist()
+    trie, lang, name, n, rows = Trie(), None, name.tolist(), n.tolist(), []
+    for a, z, d, (own, t) in zip(starts.tolist(), ends, docs, zip(*(x.tolist() for x in np.divmod(term[starts], len(terms))), strict=True), strict=True):
+        if own != lang:
+            rows += [(langs[lang], *p) for p in trie.parts(names, depth)] if lang is not None else []  # of the language before
+            trie, lang = Trie(), own
+        leaf = trie.leaf(terms[t])
+        leaf.update(zip(name[a:z], n[a:z], strict=True))
+        leaf[_DOCS] = d
+    rows += [(langs[lang], *p) for p in trie.parts(names, depth)]
+    for at in range(0, len(rows), 1000):
+        yield _batch(rows[at : at + 1000])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -181,7 +223,7 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
 
     # Ranges of prefixes: parts of one prefix meet in one task, and tasks follow the order of terms.
     dealt = parts.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
-    return lean(dealt).mapInArrow(tidy(run), _TERMS)
+    return lean(dealt).mapInArrow(tidy(uncollected(run)), _TERMS)
 
 
 def _terms(rows: list[tuple]) -> pa.RecordBatch:

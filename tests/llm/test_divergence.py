@@ -46,7 +46,7 @@ def test_odd_rows(spark, n, monkeypatch):
     df = spark.createDataFrame([(1, *r, "t", 1, "p") for r in rows], DOCS)
     plain, want = divergence.counted, sorted(brute(rows))
     assert sorted(tuple(r) for r in divergence.audit(df).collect()) == want
-    monkeypatch.setattr(divergence, "counted", lambda docs: plain(docs, depth=1, leaves=3))
+    monkeypatch.setattr(divergence, "counted", lambda docs: plain(docs, depth=1, most=3))
     assert sorted(tuple(r) for r in divergence.audit(df, block=4).collect()) == want
 
 
