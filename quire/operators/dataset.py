@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.latex import renders
+from quire.functions.markdown import prose
 from quire.functions.text import hash64, words
 from quire.operators.running import running_sum
 
@@ -20,10 +22,10 @@ def body(text: Column | str) -> Column:
     return F.when(at > 0, whole.substr(at + 2, F.length(whole))).otherwise(whole)
 
 
-def hashed(docs: DataFrame) -> DataFrame:
+def hashed(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, sha, lot): the hash of each document's body, and which of the lots of its copies it is dealt to."""
     sha = F.coalesce(F.sha2(body("text"), 256), F.lit("none"))
-    return docs.select("doc_id", sha.alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(LOTS)).alias("lot"))
+    return docs.select("doc_id", sha.alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(LOTS)).alias("lot"), *more)
 
 
 def copies(hashes: DataFrame) -> DataFrame:
@@ -41,11 +43,14 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return copies(hashed(docs))
 
 
-def verdicts(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """(doc_id, reason): the first of page score and duplicate; only documents that pass the first gate are remembered."""
-    gated = hashed(docs).join(scores, "doc_id", "left").withColumn("bad", F.coalesce(F.col("score") < 1, F.lit(False)))
-    good = copies(gated.where(~F.col("bad"))).select("doc_id", F.when(F.col("duplicate_of").isNotNull(), "duplicate").alias("reason"))
-    return good.union(gated.where("bad").select("doc_id", F.lit("page-score")))
+def verdicts(docs: DataFrame, scores: DataFrame, keep_unrendered: bool = False) -> DataFrame:
+    """(doc_id, reason): the first of page score, math that doesn't render and duplicate, or null; only documents that
+    pass the first two gates are remembered. Math is looked for outside listings."""
+    broken = F.lit(False) if keep_unrendered else F.coalesce(~renders(prose("text")), F.lit(False))
+    marked = docs.withColumn("broken", broken)
+    gated = hashed(marked, "broken").join(scores, "doc_id", "left").withColumn("bad", F.when(F.col("score") < 1, "page-score").when(F.col("broken"), "latex"))
+    good = copies(gated.where(F.col("bad").isNull())).select("doc_id", F.when(F.col("duplicate_of").isNotNull(), "duplicate").alias("reason"))
+    return good.union(gated.where(F.col("bad").isNotNull()).select("doc_id", "bad"))
 
 
 def page_scores(pages: DataFrame) -> DataFrame:

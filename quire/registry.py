@@ -485,13 +485,6 @@ def exact_dedup(spark, sf_dir):
     return dataset.duplicates(docs(spark, sf_dir))
 
 
-@query(f"""WITH g AS (SELECT d.doc_id, {BODY} AS body, coalesce(quality < 1, false) AS bad FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-    f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(body)) AS first FROM g WHERE NOT bad)
-    SELECT doc_id, CASE WHEN first < doc_id THEN 'duplicate' END AS reason FROM f UNION ALL SELECT doc_id, 'page-score' FROM g WHERE bad""", model=False)
-def verdicts(spark, sf_dir):
-    return dataset.verdicts(docs(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("score")))
-
-
 @query("SELECT source AS section, CASE WHEN bool_or(quality IS NULL) THEN NULL ELSE min(quality) END AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1", model=False)
 def page_score(spark, sf_dir):
     both = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -620,4 +613,4 @@ def out_of_sequence(spark, sf_dir):
     return dataset.out_of_sequence(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), printed.alias("printed")))
 
 
-from quire import registry_pieces, registry_replies, registry_search  # noqa: E402,F401  add their queries
+from quire import registry_checks, registry_pieces, registry_replies, registry_search  # noqa: E402,F401  add their queries
