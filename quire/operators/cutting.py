@@ -72,22 +72,29 @@ def parts_of(blocks: list[int], tokens: list[int], with_next: list[bool], most:
     return parts
 
 
-def sections(blocks: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """(doc_id, section, part, place, position): which part of which section each block belongs to, in which place; a
-    footnote that stands alone comes last in its part.
+def cut(blocks: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """(doc_id, section, part, place, position, parts, path): which part of which section each block belongs to, in which
+    place; a footnote that stands alone comes last in its part. path: the headings that the section lies under.
 
     blocks: (doc_id, position, path array<int>, tokens, with_next, lone_note), the path naming the open headings."""
-    schema = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("part", pa.int32()), ("place", pa.int32()), ("position", pa.int32())])
+    kinds = [("doc_id", pa.int64()), ("section", pa.int32()), ("part", pa.int32()), ("place", pa.int32()), ("position", pa.int32()), ("parts", pa.int32()), ("path", pa.list_(pa.int32()))]
+    schema = pa.schema(kinds)
 
     def run(rows: pa.Table) -> pa.Table:
         own = sorted(rows.to_pylist(), key=lambda r: r["position"])
         paths, tokens = [tuple(r["path"] or ()) for r in own], [r["tokens"] for r in own]
         out = []
-        for s, (_, blocks) in enumerate(joined(runs_of(paths, tokens, most), tokens, least)):
-            for p, part in enumerate(parts_of(blocks, tokens, [r["with_next"] for r in own], most)):
+        for s, (path, blocks) in enumerate(joined(runs_of(paths, tokens, most), tokens, least)):
+            parts = parts_of(blocks, tokens, [r["with_next"] for r in own], most)
+            for p, part in enumerate(parts):
                 part = sorted(part, key=lambda b: own[b]["lone_note"])
-                out += [(own[b]["doc_id"], s, p, k, own[b]["position"]) for k, b in enumerate(part)]
+                out += [(own[b]["doc_id"], s, p, k, own[b]["position"], len(parts), list(path)) for k, b in enumerate(part)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     rows = blocks.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(position AS INT) AS position", "path", "CAST(tokens AS BIGINT) AS tokens", "with_next", "lone_note")
-    return rows.groupBy("doc_id").applyInArrow(run, "doc_id long, section int, part int, place int, position int")
+    return rows.groupBy("doc_id").applyInArrow(run, "doc_id long, section int, part int, place int, position int, parts int, path array<int>")
+
+
+def sections(blocks: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """(doc_id, section, part, place, position) of cut()."""
+    return cut(blocks, most, least).select("doc_id", "section", "part", "place", "position")

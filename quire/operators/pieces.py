@@ -95,13 +95,19 @@ def kept_cites(cites: Column | str) -> Column:
     return F.array_distinct(F.transform(own, lambda c: F.trim(c["label"])))
 
 
-def paragraphs(pieces: DataFrame) -> DataFrame:
-    """(doc_id, run, paragraph, page, number, text): the texts between headings. Two pieces are one paragraph, joined by
-    a space, where the earlier ends and the later starts mid-sentence with no other text between."""
+def in_paragraphs(pieces: DataFrame) -> DataFrame:
+    """The texts that aren't blank, with `run`, the heading that they come after, and `paragraph`, its number there. Two
+    are one paragraph where the earlier ends and the later starts mid-sentence with no other text between."""
     run = F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(in_reading_order())
     texts = pieces.withColumn("run", run).where((F.col("kind") == "text") & (F.trim("content") != ""))
     joins = F.coalesce(F.lag("ends").over(in_reading_order("run")) & F.col("starts"), F.lit(False))
-    texts = texts.withColumn("paragraph", F.sum(F.when(joins, 0).otherwise(1)).over(in_reading_order("run")))
+    return texts.withColumn("paragraph", F.sum(F.when(joins, 0).otherwise(1)).over(in_reading_order("run")))
+
+
+def paragraphs(pieces: DataFrame) -> DataFrame:
+    """(doc_id, run, paragraph, page, number, text): the texts between headings. Two pieces are one paragraph, joined by
+    a space, where the earlier ends and the later starts mid-sentence with no other text between."""
+    texts = in_paragraphs(pieces)
     parts = F.sort_array(F.collect_list(F.struct("page", "number", "content")))
     both = texts.groupBy("doc_id", "run", "paragraph").agg(parts.alias("p"))
     first = F.col("p")[0]
