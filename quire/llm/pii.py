@@ -8,6 +8,7 @@ candidate is made of, which no labeler sees, is trained on these probabilities a
 """
 
 import math
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ _LOCAL = r"A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",  # fewer digits make no card
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Further kinds, found as candidates only. The value follows what a lookbehind can hold, so a match is the span.
@@ -61,19 +62,59 @@ KINDS = (*BASE, "secret", "ssn", "iban", "name")
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
-def located(text: Column, pattern: str, given: Column) -> Column:
-    """Starts, ends and texts of a pattern's leftmost matches, in code points, where `given` holds; else none."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+#: Entries of a block of a running total, and code points of a part of a text.
+_BLOCK, _PART = 256, 1024
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once, though body names it often or within a function of an array's entries."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of whole numbers (sums, or maxima of such as aren't negative). Appending copies what there is, so
+    totals are made within blocks, then over the blocks; the work grows with the array, not with its square."""
+    none = F.array().cast("array<int>")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    more = lambda acc, x: F.concat(acc, F.array(add(last(acc), x)))
+
+    def within(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.call_function("div", F.size(v) - 1, F.lit(_BLOCK)).cast("int"))
+        return F.transform(numbers, lambda b: F.aggregate(F.slice(v, b * _BLOCK + 1, _BLOCK), none, more))
+
+    def over(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, own: more(acc, last(own)))
+        moved = F.zip_with(blocks, before, lambda own, b: F.transform(own, lambda x: add(b, x)))
+        return F.flatten(F.slice(moved, F.lit(1), F.size(blocks)))
+
+    return let(values, lambda v: let(within(v), over))
+
+
+def parts_of(text: Column) -> Column:
+    """A text in parts of 1,024 code points, as Spark looks for a place in a string from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+
+
+def cut_out(parts: Column, start: Column, stop: Column) -> Column:
+    """The code points from start up to stop of a text in parts."""
+    number = lambda at: F.call_function("div", at, F.lit(_PART)).cast("int")
+    near = F.array_join(F.slice(parts, number(start) + 1, number(stop) - number(start) + 1), "")
+    return F.substr(near, start % _PART + 1, stop - start)
+
+
+def found(text: Column, pattern: str, given: Column) -> Column:
+    """The texts of a pattern's leftmost matches, each with the code points between the one before and itself, where
+    `given` holds; else none."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    both = F.arrays_zip(found.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    both = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    return F.when(given, both).otherwise(F.array().cast("array<struct<value:string,gap:int>>"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        stop = start + F.length(x["v"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["v"].alias("value")))).alias("out"))
 
-    return F.when(given, F.aggregate(both, zero, add, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+def located(matches: Column) -> Column:
+    """Starts, ends and texts of what `found` gives, in code points."""
+    stops = running(F.transform(matches, lambda m: m["gap"] + F.length(m["value"])), lambda a, b: a + b)
+    return F.zip_with(matches, stops, lambda m, z: F.struct((z - F.length(m["value"])).alias("start"), z.alias("stop"), m["value"].alias("value")))
 
 
 def digits(value: Column) -> Column:
@@ -91,11 +132,11 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def candidate(kind: str, span: Column, text: Column, exact: Column) -> Column:
+def candidate(kind: str, span: Column, parts: Column, exact: Column) -> Column:
     """The span with its labelers' votes, 1, 0 or -1, the class of its length and that of its characters: the share of
     digits in quarters, and whether there are capitals and marks."""
-    before = F.lower(F.substr(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40))))
-    left, right = F.substr(text, span["start"], F.lit(1)), F.substr(text, span["stop"] + 1, F.lit(1))
+    ahead = cut_out(parts, F.greatest(span["start"] - 40, F.lit(0)), span["start"])
+    before, left, right = F.lower(ahead), F.substr(ahead, F.length(ahead), F.lit(1)), cut_out(parts, span["stop"], span["stop"] + 1)
     touched = F.when(span["start"] > 0, left.rlike("[A-Za-z0-9]")).otherwise(False) | right.rlike("[A-Za-z0-9]")
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     one_digit = F.length(F.array_join(F.array_distinct(F.split(digits(span["value"]), "")), "")) <= 2
@@ -127,10 +168,14 @@ def spans(docs: DataFrame, text: str, names: tuple[str, str] = ("base", "candida
         "email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": F.contains(t, F.lit("+")),
         "secret": F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")), "at": t.rlike(r"[\[({]\s?[aA][tT]\s?[\])}]"), "digits": t.rlike("[0-9]"), "title": t.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña)\b"),
     }
-    raw = {f"{mark} {base} {k}": located(t, PATTERNS[k], given[k]) for k in BASE}
+    raw = {f"{mark} {base} {k}": found(t, PATTERNS[k], given[k]) for k in BASE}
     when = {"secret": "secret", "email": "at", "phone": "digits", "ssn": "digits", "iban": "digits", "name": "title"}
-    raw |= {f"{mark} {more} {k}": located(t, p, given[when[k]]) for k, p in CANDIDATES.items()}
+    raw |= {f"{mark} {more} {k}": found(t, p, given[when[k]]) for k, p in CANDIDATES.items()}
     df = docs.withColumns(raw)
+    # The text in parts is only made where something is found.
+    some = F.greatest(*(F.size(f"`{c}`") for c in raw)) > 0
+    df = df.withColumns({c: located(F.col(f"`{c}`")) for c in raw} | {f"{mark} parts": F.when(some, parts_of(t))})
+    parts = F.col(f"`{mark} parts`")
 
     def exact(kind: str) -> Column:
         own = F.filter(F.col(f"`{mark} {base} {kind}`"), lambda x: valid(kind, x["value"]))
@@ -140,14 +185,14 @@ def spans(docs: DataFrame, text: str, names: tuple[str, str] = ("base", "candida
         own = F.col(f"`{mark} {base} {kind}`")
         if kind == "card":  # short runs of digits are no candidates
             own = F.filter(own, lambda x: F.length(digits(x["value"])).between(12, 19))
-        return F.transform(own, lambda x: candidate(kind, x, t, valid(kind, x["value"])))
+        return F.transform(own, lambda x: candidate(kind, x, parts, valid(kind, x["value"])))
 
     def further(kind: str) -> Column:
-        return F.transform(F.col(f"`{mark} {more} {kind}`"), lambda x: candidate(kind, x, t, F.lit(kind in ("secret", "ssn", "iban"))))
+        return F.transform(F.col(f"`{mark} {more} {kind}`"), lambda x: candidate(kind, x, parts, F.lit(kind in ("secret", "ssn", "iban"))))
 
     votes = [judged(k) for k in BASE] + [further(k) for k in CANDIDATES]
     df = df.withColumns({base: F.array_sort(F.concat(*(exact(k) for k in BASE))), more: F.array_sort(F.concat(*(v.cast(_CANDIDATE) for v in votes)))})
-    return df.drop(*raw)
+    return df.drop(*raw, f"{mark} parts")
 
 
 def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 60) -> dict[tuple[int, ...], float]:
@@ -213,9 +258,14 @@ def accepted(weights: dict[str, float], base: Column, candidates: Column, least:
             z = z + weight(F.concat(F.lit(f"{n} "), c[n].cast("string")))
         return z >= math.log(least / (1 - least))
 
-    held = lambda c: F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["stop"] >= c["stop"]))
-    new = F.transform(F.filter(candidates, lambda c: sure(c) & ~held(c)), lambda c: F.struct(c["start"].alias("start"), order(c["kind"]).alias("order"), c["stop"].alias("stop"), c["kind"].alias("kind")))
-    return F.array_sort(F.array_distinct(F.concat(base, new)))
+    span = lambda c, own: F.struct(c["start"].alias("start"), F.lit(own).alias("own"), (order(c["kind"]) if own else c["order"]).alias("order"), c["stop"].alias("stop"), c["kind"].alias("kind"))
+    # By their starts, base spans first: a candidate is held if a base span before it reaches as far.
+    spans = F.array_sort(F.concat(F.transform(base, lambda b: span(b, 0)), F.transform(F.filter(candidates, sure), lambda c: span(c, 1))))
+    # Each once; array_distinct would compare all structs with all.
+    spans = let(spans, lambda both: F.filter(both, lambda s, i: (i == 0) | (s != F.get(both, i - 1))))
+    reach = lambda both: running(F.transform(both, lambda s: F.when(s["own"] == 0, s["stop"]).otherwise(0)), F.greatest)
+    told = let(spans, lambda both: F.zip_with(both, reach(both), lambda s, r: F.struct(s.alias("s"), ((s["own"] == 0) | (r < s["stop"])).alias("new"))))
+    return F.array_sort(F.transform(F.filter(told, lambda x: x["new"]), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["order"].alias("order"), x["s"]["stop"].alias("stop"), x["s"]["kind"].alias("kind"))))
 
 
 def joined(found: Column) -> Column:
@@ -223,17 +273,17 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def masked(text: Column, found: Column) -> Column:
-    """The text with each span, or run of spans that overlap, replaced by its first kind in brackets."""
+def masked(text: Column, parts: Column, spans: Column) -> Column:
+    """The text with each span, or run of spans that overlap, replaced by its first kind in brackets. parts: parts_of."""
+    reach = running(F.transform(spans, lambda s: s["stop"]), F.greatest)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+    def whole(reached: Column) -> Column:
+        # Where a span begins beyond all before it, the text up to it and its kind; the rest follows.
+        before = F.concat(F.array(F.lit(0)), reached)
+        pieces = F.zip_with(spans, before, lambda s, r: F.when(s["start"] >= r, F.concat(cut_out(parts, r, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        return F.concat(F.array_join(pieces, ""), cut_out(parts, F.element_at(reached, -1), F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(reach, whole)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -241,6 +291,8 @@ def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
 
     The spans are found once and stored beside the rows, as the classifier needs them before any is masked."""
     base, candidates = (fresh(f"{x} of {text}", docs.columns) for x in ("base", "candidates"))
-    found = stored(spans(docs, text, (base, candidates)))
-    all_ = accepted(fit(found, candidates), F.col(base), F.col(candidates), least)
-    return found.withColumn(base, all_).withColumn(text, masked(F.col(text), F.col(base))).select(*docs.columns)
+    marked = stored(spans(docs, text, (base, candidates)))
+    all_ = accepted(fit(marked, candidates), F.col(base), F.col(candidates), least)
+    some = F.size(base) > 0
+    own = marked.withColumn(base, all_).withColumn(candidates, F.when(some, parts_of(F.col(text))))
+    return own.withColumn(text, masked(F.col(text), F.col(candidates), F.col(base))).select(*docs.columns)
