@@ -173,18 +173,27 @@ def plain(value: Column | str) -> Column:
 
 
 def agree(a: str, b: str, tolerance: float = 1e-3) -> Column:
-    """Equal as texts without spaces and dollar signs, or as numbers within a relative tolerance."""
-    x, y = (F.when(F.col(c).rlike(r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$"), F.col(c).try_cast("double")) for c in (a, b))
+    """Equal as texts without spaces and dollar signs, or as numbers within a relative tolerance. An infinite value is
+    within that of any finite one, as the tolerance then is infinite too."""
+
+    def number(c: str) -> Column:
+        endless = F.col(c).rlike(r"(?i)^\s*[+-]?inf(?:inity)?\s*$")
+        sign = F.when(F.trim(c).startswith("-"), -1.0).otherwise(1.0)
+        return F.when(F.col(c).rlike(r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$"), F.col(c).try_cast("double")).when(endless, sign * F.lit(float("inf")))
+
+    x, y = number(a), number(b)
     near = F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y))
     return (plain(a) == plain(b)) | F.coalesce(near, F.lit(False))
 
 
 def agreement(tries: DataFrame) -> DataFrame:
-    """(question, kept_try, votes): the try that most others agree with, ties to the earlier, if more than half do; of
-    its group the shortest is kept. tries: (question, try, value)."""
-    other = tries.select("question", F.col("try").alias("with"), F.col("value").alias("other"))
-    pairs = tries.join(other, "question").where(agree("value", "other"))
-    around = pairs.groupBy("question", "try").agg(F.count("*").alias("votes"), F.min(F.struct(F.length("other").alias("n"), F.col("with"))).alias("short"))
+    """(question, kept_try, votes): the try that most others agree with, ties to the earlier, if more than half of all
+    tries do; of its group the shortest try is kept, ties to the earlier. A try without a value agrees with none.
+
+    tries: (question, try, value, length), length being that of the working and the answer together."""
+    other = tries.select("question", F.col("try").alias("with"), F.col("value").alias("other"), "length")
+    pairs = tries.drop("length").join(other, "question").where(agree("value", "other"))
+    around = pairs.groupBy("question", "try").agg(F.count("*").alias("votes"), F.min(F.struct("length", F.col("with"))).alias("short"))
     best = around.groupBy("question").agg(F.max(F.struct("votes", (-F.col("try")).alias("t"), F.col("short.with").alias("kept"))).alias("b"))
     asked = tries.groupBy("question").agg(F.count("*").alias("asked"))
     return best.join(asked, "question").where(F.col("b.votes") * 2 > F.col("asked")).select("question", F.col("b.kept").alias("kept_try"), F.col("b.votes").alias("votes"))

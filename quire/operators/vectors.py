@@ -68,16 +68,19 @@ CONCEPT_BYTES = 64_000_000
 
 
 def nearest_concept(vectors: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(item_id, concept_id, score): each vector's nearest concept, ties to the smaller id.
+    """(item_id, concept_id, score): each vector's nearest concept, ties to the smaller id. Vectors that are null, all
+    zero or of another dimension than the concepts' greatest take no part, on either side.
 
     Where the concepts' vectors are few enough to be sent to every task, a block of vectors is multiplied by all of
     them at once; else the pairs of one vector are scored where a join makes them, and only the best leaves a task."""
     rows, width = concepts.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    usable = (F.size("vector") == width) & F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: x.isNotNull())
+    vectors, concepts = vectors.where(usable), concepts.where(usable)
     if rows * width * 8 > CONCEPT_BYTES:
         pairs = vectors.select("item_id", "vector").crossJoin(concepts.select("concept_id", F.col("vector").alias("c")))
         best = pairs.groupBy("item_id").agg(F.max(F.struct(cosine("vector", "c").alias("score"), (-F.col("concept_id")).alias("least"))).alias("b"))
         return best.select("item_id", (-F.col("b.least")).alias("concept_id"), F.col("b.score").alias("score"))
-    stored = sorted((r["concept_id"], r["vector"]) for r in concepts.where("vector IS NOT NULL").select("concept_id", "vector").collect())
+    stored = sorted((r["concept_id"], r["vector"]) for r in concepts.select("concept_id", "vector").collect())
     ids, c = np.array([i for i, _ in stored], np.int64), np.array([v for _, v in stored], float).reshape(len(stored), -1)
     length = np.sqrt((c**2).sum(axis=1))
     sent = vectors.sparkSession.sparkContext.broadcast((ids[length > 0], c[length > 0] / length[length > 0, None]))
@@ -94,7 +97,7 @@ def nearest_concept(vectors: DataFrame, concepts: DataFrame) -> DataFrame:
                 keep = pa.array(own > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids[best]), pa.array(score[np.arange(len(best)), best])], names=["item_id", "concept_id", "score"]).filter(keep)
 
-    known = vectors.where(F.size("vector") == width).select(F.col("item_id").cast("long"), F.col("vector").cast("array<double>"))
+    known = vectors.select(F.col("item_id").cast("long"), F.col("vector").cast("array<double>"))
     return known.mapInArrow(run, "item_id long, concept_id long, score double")
 
 

@@ -587,17 +587,18 @@ def relation_seeds(lib, *_):
     return dataset.relation_seeds(lib.relation, m, m.groupBy("concept_id").agg(F.sum("n").alias("count")))
 
 
-TRIES = """WITH t AS (SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY v, part) AS INTEGER) AS try, v FROM (SELECT DISTINCT l_orderkey AS question, l_partkey AS part, l_quantity AS v FROM lineitem)),
-    a AS (SELECT x.question, x.try, count(*) AS votes, min(ROW(length(CAST(CAST(y.v AS BIGINT) AS VARCHAR)), y.try))[2] AS kept FROM t x JOIN t y ON x.question = y.question AND abs(x.v - y.v) <= 1e-3 * greatest(abs(x.v), abs(y.v)) GROUP BY ALL),
+TRIES = """WITH t AS (SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY v, part) AS INTEGER) AS try, v, size FROM (SELECT l_orderkey AS question, l_partkey AS part, l_quantity AS v, CAST(floor(min(l_extendedprice)) AS BIGINT) % 997 AS size FROM lineitem GROUP BY ALL)),
+    a AS (SELECT x.question, x.try, count(*) AS votes, min(ROW(y.size, y.try))[2] AS kept FROM t x JOIN t y ON x.question = y.question AND abs(x.v - y.v) <= 1e-3 * greatest(abs(x.v), abs(y.v)) GROUP BY ALL),
     b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY question ORDER BY votes DESC, try) = 1)
     SELECT b.question, b.kept AS kept_try, b.votes FROM b JOIN (SELECT question, count(*) AS n FROM t GROUP BY 1) USING (question) WHERE votes * 2 > n"""
 
 
 @query(TRIES, model=False)
 def agreement(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("v")).distinct()
-    tries = rows.select("question", F.row_number().over(Window.partitionBy("question").orderBy("v", "part")).alias("try"), F.col("v").cast("long").cast("string").alias("value"))
-    return dataset.agreement(tries)
+    """A question for each order, a try for each of its parts and quantities; how long a try is, its price tells."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("question"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("v")).agg(F.min("l_extendedprice").alias("price"))
+    turn = F.row_number().over(Window.partitionBy("question").orderBy("v", "part"))
+    return dataset.agreement(rows.select("question", turn.alias("try"), F.col("v").cast("long").cast("string").alias("value"), (F.floor("price").cast("long") % 997).alias("length")))
 
 
 @query("WITH s AS (SELECT CAST(doc_id % 4 + 1 AS INTEGER) AS score FROM labels) SELECT x AS score, count(s.score) AS n FROM (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS x) LEFT JOIN s ON x = s.score GROUP BY 1", model=False)

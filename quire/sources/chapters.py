@@ -58,9 +58,39 @@ def pieces(spark: SparkSession, root: str, of: DataFrame | None = None) -> DataF
     """(folder, page, number, kind, rank, label, marker, language, cites, content): the pieces of pages(), with the text
     of their files without one closing line break. of: pages(), where it is at hand."""
     rows = (pages(spark, root) if of is None else of).select("folder", "page", F.explode("pieces").alias("p")).select("folder", "page", "p.*")
+    return rows.join(piece_files(spark, root), ["folder", "page", "file"]).select("folder", "page", "number", "kind", "rank", "label", "marker", "language", "cites", "content")
+
+
+def faults(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, fault): why a chapter can't be read: it isn't finished, has another version, lacks a page or has one that
+    can't be read or of another version, a page gives a piece's number twice, or a piece's file is missing."""
+    known = catalogue(spark, root)[0]
+    state = F.when(~F.col("finished"), "not finished").when(F.col("version") != VERSION, F.concat(F.lit("version "), F.col("version").cast("string")))
+    found = known.select("folder", state.alias("fault")).where("fault IS NOT NULL")
+    ready = known.where(F.col("finished") & (F.col("version") == VERSION) & (F.col("page_count") > 0))
+    good, _ = read_json(files(spark, f"{root}/*/*/page-num-*/page.json"), PAGE, ["format-version", "page-position", "pieces"])
+    own = good.select(folder("path", 2).alias("folder"), F.col("x.`page-position`").alias("page"), F.col("x.`format-version`").alias("version"), "x.pieces")
+    rows = ready.select("folder", F.explode(F.sequence(F.lit(1), "page_count")).alias("page")).join(own, ["folder", "page"], "left")
+    page = F.concat(F.lit("page "), F.col("page").cast("string"))
+    wrong = F.when(F.col("version").isNull(), F.concat(page, F.lit(" is missing or can't be read"))).when(F.col("version") != VERSION, F.concat(page, F.lit(" has version "), F.col("version").cast("string")))
+    found = found.union(rows.select("folder", wrong.alias("fault")).where("fault IS NOT NULL"))
+    read = rows.where(F.col("version") == VERSION)
+    found = found.union(repeated_pieces(read).select("folder", F.concat(page, F.lit(" has two pieces "), F.col("number").cast("string"))))
+    listed = read.select("folder", "page", F.explode("pieces.file").alias("file"))
+    there = piece_files(spark, root).select("folder", "page", "file")
+    return found.union(listed.join(there, ["folder", "page", "file"], "left_anti").select("folder", F.concat(page, F.lit(" lacks "), "file")))
+
+
+def whole_chapters(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The pieces() of the chapters that have no faults, and the faults() of the others; a chapter is read whole or not."""
+    wrong = faults(spark, root)
+    return pieces(spark, root, pages(spark, root).join(wrong, "folder", "left_anti")), wrong
+
+
+def piece_files(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, page, file, content): the files of pieces, without one closing line break."""
     texts = files(spark, f"{root}/*/*/page-num-*/[0-9]*-*")
-    texts = texts.select(folder("path", 2).alias("folder"), F.regexp_extract("path", r"/page-num-([0-9]+)/[^/]*$", 1).cast("int").alias("page"), F.element_at(F.split("path", "/"), -1).alias("file"), F.regexp_replace("value", r"\r?\n\z", "").alias("content"))
-    return rows.join(texts, ["folder", "page", "file"]).select("folder", "page", "number", "kind", "rank", "label", "marker", "language", "cites", "content")
+    return texts.select(folder("path", 2).alias("folder"), F.regexp_extract("path", r"/page-num-([0-9]+)/[^/]*$", 1).cast("int").alias("page"), F.element_at(F.split("path", "/"), -1).alias("file"), F.regexp_replace("value", r"\n\z", "").alias("content"))
 
 
 def repeated_pieces(of: DataFrame) -> DataFrame:

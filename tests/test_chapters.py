@@ -85,3 +85,23 @@ def test_lines_are_written_whole_and_named_in_the_manifest(spark, tmp_path):
     assert len(got) == 2
     for p, (sha, n, tokens) in got.items():
         assert sha == hashlib.sha256(open(p.removeprefix("file:"), "rb").read()).hexdigest() and (n, tokens) == (2, 4)
+
+
+def test_chapters_are_read_whole_or_named_with_their_faults(spark, root):
+    good, bad = chapters.whole_chapters(spark, root)
+    assert good.count() == 0
+    got = sorted((r.folder.rsplit("/", 1)[1], r.fault) for r in bad.collect())
+    assert got == [("index", "not finished"), ("ten", "page 1 is missing or can't be read"), ("ten", "page 2 is missing or can't be read"), ("two", "page 2 has two pieces 1")]
+
+
+def test_a_missing_piece_file_and_a_page_of_another_version(spark, tmp_path):
+    for name, listed, version in (("a", ["01-text.md"], 1), ("b", ["01-text.md", "02-text.md"], 1), ("c", [], 2)):
+        own = tmp_path / "m" / name / "page-num-1"
+        own.mkdir(parents=True)
+        (own.parent / "chapter.json").write_text(json.dumps({"format-version": 1, "media-title": "M", "name": {"title": name}, "source-file": "x", "source-sha256": "s", "page-count": 1, "finished": True}))
+        entries = [{"number": int(f[:2]), "file": f, "kind": "text"} for f in listed]
+        (own / "page.json").write_text(json.dumps({"format-version": version, "page-position": 1, "pieces": entries, "relationships": []}))
+        (own / "01-text.md").write_text("words\r\n")
+    good, bad = chapters.whole_chapters(spark, str(tmp_path))
+    assert [(r.folder[-1], r.number, r.content) for r in good.collect()] == [("a", 1, "words\r")]
+    assert sorted((r.folder[-1], r.fault) for r in bad.collect()) == [("b", "page 1 lacks 02-text.md"), ("c", "page 1 has version 2")]

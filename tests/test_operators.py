@@ -131,3 +131,24 @@ def test_stream_of_job_events(spark, tmp_path):
         stream.writeStream.format("memory").queryName(f"q_{name}").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.table("q_latest").collect()] == [(5, 2, "b", 0.1)]
     assert [(r.model, r.tokens) for r in spark.table("q_spending").collect()] == [("m", 15)]
+
+
+def test_the_shortest_try_is_kept(spark):
+    from quire.operators import dataset
+
+    rows = [(1, 1, "4.0", 30), (1, 2, " 4 $", 20), (1, 3, "4", 20), (1, 4, "5", 1), (2, 1, "a", 1), (2, 2, "b", 1), (3, 1, None, 1), (3, 2, "x", 9), (3, 3, "X", 9), (4, 1, "inf", 5), (4, 2, "7", 6)]
+    got = dataset.agreement(spark.createDataFrame(rows, "question int, try int, value string, length int"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 3), (3, 2, 2), (4, 1, 2)]
+
+
+def test_nearest_concept_is_the_same_on_both_sides_of_its_limit(spark, monkeypatch):
+    from quire.operators import vectors
+
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [0.6, 0.8]), (6, [None, 1.0])]
+    own = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    concepts = spark.createDataFrame([(7, [0.0, 1.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0]), (10, [0.0, 0.0]), (11, None), (12, [3.0])], "concept_id long, vector array<double>")
+    found = []
+    for limit in (64_000_000, 0):
+        monkeypatch.setattr(vectors, "CONCEPT_BYTES", limit)
+        found.append(sorted(tuple(r) for r in vectors.nearest_concept(own, concepts).collect()))
+    assert found[0] == found[1] == [(1, 8, 1.0), (5, 7, 0.8)]
