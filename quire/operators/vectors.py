@@ -81,7 +81,7 @@ def nearest_concept(vectors: DataFrame, concepts: DataFrame) -> DataFrame:
         best = pairs.groupBy("item_id").agg(F.max(F.struct(cosine("vector", "c").alias("score"), (-F.col("concept_id")).alias("least"))).alias("b"))
         return best.select("item_id", (-F.col("b.least")).alias("concept_id"), F.col("b.score").alias("score"))
     stored = sorted((r["concept_id"], r["vector"]) for r in concepts.select("concept_id", "vector").collect())
-    ids, c = np.array([i for i, _ in stored], np.int64), np.array([v for _, v in stored], float).reshape(len(stored), -1)
+    ids, c = np.array([i for i, _ in stored], np.int64), np.array([v for _, v in stored], float).reshape(len(stored), width)
     length = np.sqrt((c**2).sum(axis=1))
     sent = vectors.sparkSession.sparkContext.broadcast((ids[length > 0], c[length > 0] / length[length > 0, None]))
 
