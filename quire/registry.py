@@ -614,4 +614,4 @@ def out_of_sequence(spark, sf_dir):
     return dataset.out_of_sequence(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), printed.alias("printed")))
 
 
-from quire import registry_checks, registry_pieces, registry_replies, registry_search  # noqa: E402,F401  add their queries
+from quire import registry_checks, registry_pieces, registry_reading, registry_replies, registry_search  # noqa: E402,F401  add their queries
