@@ -82,7 +82,7 @@ class Words:
 
 @cache
 def words_of(path: str) -> Words:
-    """One for each Python worker, which Spark uses again for later tasks; what it remembers is bounded in bytes."""
+    """One for each Python worker, which Spark uses again for later tasks; what it remembers of words goes with each task."""
     return Words(path)
 
 
@@ -95,16 +95,20 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
-        for batch in batches:
-            out = []
-            for i, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1)), strict=True):
-                size = len(ids) + 4
-                for n, a in enumerate(range(0, size, step)):
-                    z = min(a + step, size)
-                    crc = zlib.crc32(ids[a:z])  # the last id isn't in ids
-                    out.append((i, n, a // 4, (z - a) // 4, zlib.crc32(last, crc) if z == size else crc))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        try:
+            for batch in batches:
+                out = []
+                for i, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1)), strict=True):
+                    size = len(ids) + 4
+                    for n, a in enumerate(range(0, size, step)):
+                        z = min(a + step, size)
+                        crc = zlib.crc32(ids[a:z])  # the last id isn't in ids
+                        out.append((i, n, a // 4, (z - a) // 4, zlib.crc32(last, crc) if z == size else crc))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        finally:
+            words.runs.forget()
+            words.known.forget()
 
     return lean(docs.select(F.col(doc_id).cast("long"), F.col(text))).mapInArrow(tidy(run), PIECES)
 

@@ -105,6 +105,9 @@ class Known:
     def __init__(self, make: Callable[[list[bytes]], list[bytes]], most: int = 24_000_000):
         self.make, self.most, self.young, self.old, self.size = make, most, {}, {}, 0
 
+    def forget(self) -> None:
+        self.young, self.old, self.size = {}, {}, 0
+
     def of(self, words: list[bytes]) -> list[bytes]:
         if self.size > self.most:
             self.young, self.old, self.size = {}, self.young, 0
