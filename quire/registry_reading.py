@@ -4,7 +4,8 @@ gives the same rows."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators import reading, rendering, resolving
+from quire.operators import questions, reading, rendering, resolving
+from quire.operators.pieces import context_line, sections
 from quire.registry import item_vectors, label_vectors, query
 from quire.registry_pieces import ATTACHED, LEADS, PIECES, piece_rows
 from quire.sources import table
@@ -124,3 +125,24 @@ def read_cursors(spark, sf_dir):
     rows = docs.select("doc_id", of.alias("scope"), reading.cursor(F.col("doc_id") % 7, F.length("text"), of).alias("cursor"))
     at = reading.resumed(F.col("cursor"), F.when(F.col("doc_id") % 3 == 0, F.concat("scope", F.lit("x"))).otherwise(F.col("scope")))
     return rows.withColumn("at", at).select("doc_id", "cursor", F.col("at").isNotNull().alias("own"), "at.unit", "at.offset")
+
+
+@query(PIECES + """, open AS (SELECT p.doc_id, p.pos, h.content, h.pos AS opos FROM piece p JOIN piece h ON p.doc_id = h.doc_id AND h.kind = 'heading' AND h.pos < p.pos
+        WHERE NOT EXISTS (SELECT 1 FROM piece g WHERE g.doc_id = h.doc_id AND g.kind = 'heading' AND g.rank <= h.rank AND g.pos > h.pos AND g.pos <= p.pos)),
+    path AS (SELECT doc_id, pos, string_agg(content, ' > ' ORDER BY opos) AS path FROM open GROUP BY ALL),
+    item AS (SELECT p.doc_id, c_name, p.pos, p.page, p.kind, p.content, p.label, p.language, path, lag(p.page) OVER w AS before, lag(path) OVER w AS above FROM piece p JOIN customer ON c_custkey = p.doc_id LEFT JOIN path t ON t.doc_id = p.doc_id AND t.pos = p.pos WHERE p.kind <> 'heading' WINDOW w AS (PARTITION BY p.doc_id ORDER BY p.pos)),
+    line AS (SELECT doc_id, c_name, pos, page, CASE WHEN before IS DISTINCT FROM page THEN '[page ' || page || CASE WHEN page > 1 THEN ', printed ' || page + 10 ELSE '' END || ']' || chr(10) || chr(10) ELSE '' END
+        || CASE WHEN path IS NOT NULL AND path IS DISTINCT FROM above THEN 'Section: ' || path || chr(10) || chr(10) ELSE '' END
+        || CASE kind WHEN 'formula' THEN '$$' || content || '$$ ' || label WHEN 'code' THEN coalesce(label || chr(10), '') || '```' || coalesce(language, '') || chr(10) || content || chr(10) || '```' WHEN 'figure' THEN 'as embedded: ' || content WHEN 'table' THEN 'as embedded: ' || content ELSE content END AS line FROM item),
+    whole AS (SELECT doc_id, 'Document: ' || c_name || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY pos) AS text FROM line GROUP BY doc_id, c_name),
+    seen AS (SELECT doc_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM (SELECT DISTINCT doc_id, page FROM line) GROUP BY doc_id)
+    SELECT w.doc_id, CASE WHEN ceil(length(text) / 4.0) <= 300 THEN text END AS text, pages, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CASE WHEN ceil(length(text) / 4.0) > 300 THEN 'too long' END AS fault FROM whole w JOIN seen s ON s.doc_id = w.doc_id""", model=False)
+def document_questions(spark, sf_dir):
+    """The text of each chapter for one question, of 300 tokens at most."""
+    p = sections(piece_rows(spark, sf_dir)).where("kind <> 'heading'")
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("doc_title"))
+    items = p.join(names, "doc_id").select(
+        "doc_id", "doc_title", F.struct("page", "number").alias("position"), "page", F.when(F.col("page") > 1, (F.col("page") + 10).cast("string")).alias("printed"),
+        context_line(F.col("doc_title"), F.col("path")).alias("title"), "kind", F.col("content").alias("text"), "label", "language", F.concat(F.lit("as embedded: "), "content").alias("embed_text"),
+    )
+    return questions.document_texts(items, 300).withColumn("pages", F.array_join("pages", ","))

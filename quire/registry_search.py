@@ -76,9 +76,25 @@ def search_page(lib, spark, sf_dir):
     return search.page(found(lib, spark, sf_dir, search.BROAD).hits, 3, 5).select("place", "item_id", "more")
 
 
-@query("SELECT d AS documents_searched, h AS hits, CASE WHEN h = 0 THEN CASE WHEN d = 0 THEN 'no document has the labels' WHEN d IS NOT NULL THEN 'no item matches the filters' ELSE 'library holds no items' END END AS why FROM (VALUES (0, 0), (3, 0), (NULL, 0), (3, 5), (NULL, 1)) AS t(d, h)", model=False)
-def nothing_found(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 0), (3, 0), (None, 0), (3, 5), (None, 1)], "documents_searched int, hits int")
+@query(""", s AS (SELECT DISTINCT unnest(tags) AS tag FROM document UNION ALL SELECT 'no such tag' UNION ALL SELECT NULL),
+    k AS (SELECT tag, kind, page FROM s, (SELECT DISTINCT kind FROM item) x, (SELECT unnest(range(1, 14)) AS page) y),
+    d AS (SELECT tag, CASE WHEN tag IS NOT NULL THEN (SELECT count(*) FROM document WHERE list_contains(tags, tag)) END AS documents_searched FROM s),
+    h AS (SELECT k.tag, k.kind, k.page, count(i.item_id) AS hits FROM k LEFT JOIN (SELECT item.*, tags FROM item JOIN document ON item.doc_id = document.doc_id) i ON i.kind = k.kind AND i.page = k.page AND (k.tag IS NULL OR list_contains(i.tags, k.tag)) GROUP BY ALL)
+    SELECT h.tag, kind, CAST(page AS INTEGER) AS page, documents_searched, hits, CASE WHEN hits = 0 THEN CASE WHEN documents_searched = 0 THEN 'no document has the labels' WHEN documents_searched IS NOT NULL THEN 'no item matches the filters' ELSE 'library holds no items' END END AS why
+    FROM h JOIN d ON d.tag IS NOT DISTINCT FROM h.tag""")
+def nothing_found(lib, spark, sf_dir):
+    """Searches for the items of each kind and page in the documents of each tag, of a tag that none has, and in all."""
+    own = lib.document.select("doc_id", F.explode("tags").alias("tag")).union(lib.document.select("doc_id", F.lit(None).cast("string")))
+    tags = own.select("tag").distinct().union(spark.createDataFrame([("no such tag",)], "tag string"))
+    counts = own.groupBy("tag").agg(F.count("*").alias("n"))
+    hits = own.join(lib.item, "doc_id").groupBy("tag", "kind", "page").agg(F.count("*").alias("hits"))
+    # A few tags, five kinds and thirteen pages of which the last one holds nothing.
+    asked = tags.crossJoin(F.broadcast(lib.item.select("kind").distinct())).withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(13))))
+    same = lambda a, b: a["tag"].eqNullSafe(b["tag"])
+    rows = asked.join(counts, same(asked, counts), "left").drop(counts["tag"])
+    rows = rows.join(hits, same(rows, hits) & (rows["kind"] == hits["kind"]) & (rows["page"] == hits["page"]), "left").select(rows["tag"], rows["kind"], rows["page"], "n", "hits")
+    searched = F.when(F.col("tag").isNotNull(), F.coalesce("n", F.lit(0)))
+    rows = rows.select("tag", "kind", "page", searched.alias("documents_searched"), F.coalesce("hits", F.lit(0)).alias("hits"))
     return rows.withColumn("why", search.nothing_found(F.col("documents_searched"), F.col("hits")))
 
 
