@@ -86,13 +86,12 @@ def nothing_found(lib, spark, sf_dir):
     """Searches for the items of each kind and page in the documents of each tag, of a tag that none has, and in all."""
     own = lib.document.select("doc_id", F.explode("tags").alias("tag")).union(lib.document.select("doc_id", F.lit(None).cast("string")))
     tags = own.select("tag").distinct().union(spark.createDataFrame([("no such tag",)], "tag string"))
-    counts = own.groupBy("tag").agg(F.count("*").alias("n"))
-    hits = own.join(lib.item, "doc_id").groupBy("tag", "kind", "page").agg(F.count("*").alias("hits"))
+    counts = own.groupBy(F.col("tag").alias("of")).agg(F.count("*").alias("n"))
+    hits = own.join(lib.item, "doc_id").groupBy(F.col("tag").alias("in"), F.col("kind").alias("k"), F.col("page").alias("p")).agg(F.count("*").alias("hits"))
     # A few tags, five kinds and thirteen pages of which the last one holds nothing.
     asked = tags.crossJoin(F.broadcast(lib.item.select("kind").distinct())).withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(13))))
-    same = lambda a, b: a["tag"].eqNullSafe(b["tag"])
-    rows = asked.join(counts, same(asked, counts), "left").drop(counts["tag"])
-    rows = rows.join(hits, same(rows, hits) & (rows["kind"] == hits["kind"]) & (rows["page"] == hits["page"]), "left").select(rows["tag"], rows["kind"], rows["page"], "n", "hits")
+    rows = asked.join(counts, F.col("tag").eqNullSafe(F.col("of")), "left")
+    rows = rows.join(hits, F.col("tag").eqNullSafe(F.col("in")) & (F.col("kind") == F.col("k")) & (F.col("page") == F.col("p")), "left")
     searched = F.when(F.col("tag").isNotNull(), F.coalesce("n", F.lit(0)))
     rows = rows.select("tag", "kind", "page", searched.alias("documents_searched"), F.coalesce("hits", F.lit(0)).alias("hits"))
     return rows.withColumn("why", search.nothing_found(F.col("documents_searched"), F.col("hits")))
