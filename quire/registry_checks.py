@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import latex, markdown
-from quire.operators import dataset
+from quire.operators import dataset, page_replies
 from quire.registry import BODY, query
 from quire.sources import table
 
@@ -130,3 +130,17 @@ def prose_and_listings(spark, sf_dir):
     SELECT id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(spans[i], '')), '') AS claim FROM e""", model=False)
 def mended_claims(spark, sf_dir):
     return drawn_rows(spark, sf_dir, CLAIM).select("id", latex.mended_claim("t").alias("claim"))
+
+
+@query(model=False)
+def page_reply_faults(spark, sf_dir):
+    """Replies of four pieces each, whose texts the keys draw; thirteen rules in a cascade aren't written in SQL, tests
+    plant a reply for each rule."""
+    key = F.col("p_partkey")
+    kinds = F.array(*map(F.lit, ("text", "formula", "heading", "footnote", "code")))
+    content = F.when(key % 3 == 0, drawn(key, FORMULA[12:])).when(key % 3 == 1, F.col("p_name")).otherwise(drawn(key, CLAIM[:5]))
+    none = {"label": "string", "caption": "string", "printed_number": "string", "name": "string", "statement": "string", "symbols": "array<struct<symbol:string,meaning:string>>", "printed_text": "array<string>", "note": "string", "summary": "string", "language": "string", "marker": "string", "cites": "array<string>", "bounds": "struct<left:int,top:int,right:int,bottom:int>"}
+    piece = F.struct((key % 4 + 1).cast("int").alias("number"), F.element_at(kinds, (key % 5 + 1).cast("int")).alias("kind"), content.alias("content"), *(F.lit(None).cast(t).alias(n) for n, t in none.items()))
+    pages = table(spark, sf_dir, "part").groupBy(F.floor(key / 4).alias("page_id")).agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), piece.alias("piece"))))["piece"].alias("pieces"), F.min("p_brand").alias("printed"))
+    replies = pages.select("page_id", "printed", F.lit(None).cast("string").alias("header"), (F.col("page_id") % 2 == 0).alias("starts"), (F.col("page_id") % 7 == 0).alias("ends"), F.lit(0).alias("layer_words"), "pieces", F.array(F.struct(F.lit(1).alias("piece"), F.lit(3).alias("about"))).alias("discusses"))
+    return page_replies.first_faults(replies.withColumn("discusses", F.when(F.col("page_id") % 5 == 0, F.col("discusses")).otherwise(F.slice("discusses", 1, 0))))
