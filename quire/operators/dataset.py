@@ -190,7 +190,10 @@ def agreement(tries: DataFrame) -> DataFrame:
     """(question, kept_try, votes): the try that most others agree with, ties to the earlier, if more than half of all
     tries do; of its group the shortest try is kept, ties to the earlier. A try without a value agrees with none.
 
-    tries: (question, try, value, length), length being that of the working and the answer together."""
+    tries: (question, try, value, length), length being that of the working and the answer together; without it a try is
+    its value."""
+    if "length" not in tries.columns:
+        tries = tries.withColumn("length", F.coalesce(F.length("value"), F.lit(0)))
     other = tries.select("question", F.col("try").alias("with"), F.col("value").alias("other"), "length")
     pairs = tries.drop("length").join(other, "question").where(agree("value", "other"))
     around = pairs.groupBy("question", "try").agg(F.count("*").alias("votes"), F.min(F.struct("length", F.col("with"))).alias("short"))
