@@ -135,21 +135,26 @@ def valid(kind: str, value: Column) -> Column:
 def candidate(kind: str, span: Column, parts: Column, exact: Column) -> Column:
     """The span with its labelers' votes, 1, 0 or -1, the class of its length and that of its characters: the share of
     digits in quarters, and whether there are capitals and marks."""
-    ahead = cut_out(parts, F.greatest(span["start"] - 40, F.lit(0)), span["start"])
-    before, left, right = F.lower(ahead), F.substr(ahead, F.length(ahead), F.lit(1)), cut_out(parts, span["stop"], span["stop"] + 1)
-    touched = F.when(span["start"] > 0, left.rlike("[A-Za-z0-9]")).otherwise(False) | right.rlike("[A-Za-z0-9]")
+    right = cut_out(parts, span["stop"], span["stop"] + 1)
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     one_digit = F.length(F.array_join(F.array_distinct(F.split(digits(span["value"]), "")), "")) <= 2
-    votes = (
-        vote(exact, F.lit(True) if kind in ("ip", "card") else F.lit(False)),
-        vote(span["value"].rlike(GAZETTEER[kind]), F.lit(kind in ("card", "ssn", "iban"))),
-        vote(before.rlike(NEAR[kind]), before.rlike(OTHER)),
-        F.when(touched | (one_digit if kind in ("card", "phone", "ssn") else F.lit(False)), -1).otherwise(1),
-    )
     size = F.least(F.floor(F.log2((span["stop"] - span["start"]).cast("double"))), F.lit(7)).cast("int")
     share = F.least(F.floor(F.length(digits(span["value"])) * 4 / F.greatest(F.length(span["value"]), F.lit(1))), F.lit(3)).cast("int")
     shape = share * 4 + span["value"].rlike(r"\p{Lu}").cast("int") * 2 + span["value"].rlike(r"[^\p{L}\p{N}]").cast("int")
-    return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(votes, LABELERS, strict=True)), size.alias("size"), shape.alias("shape"))
+
+    def voted(ahead: Column) -> Column:
+        """ahead: the 40 code points before the span."""
+        before, left = F.lower(ahead), F.substr(ahead, F.length(ahead), F.lit(1))
+        touched = F.when(span["start"] > 0, left.rlike("[A-Za-z0-9]")).otherwise(False) | right.rlike("[A-Za-z0-9]")
+        votes = (
+            vote(exact, F.lit(True) if kind in ("ip", "card") else F.lit(False)),
+            vote(span["value"].rlike(GAZETTEER[kind]), F.lit(kind in ("card", "ssn", "iban"))),
+            vote(before.rlike(NEAR[kind]), before.rlike(OTHER)),
+            F.when(touched | (one_digit if kind in ("card", "phone", "ssn") else F.lit(False)), -1).otherwise(1),
+        )
+        return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(votes, LABELERS, strict=True)), size.alias("size"), shape.alias("shape"))
+
+    return let(cut_out(parts, F.greatest(span["start"] - 40, F.lit(0)), span["start"]), voted)
 
 
 _CANDIDATE = "array<struct<start:int,stop:int,kind:string," + ",".join(f"{n}:int" for n in LABELERS) + ",size:int,shape:int>>"
