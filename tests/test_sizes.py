@@ -1,10 +1,15 @@
 """What holds for tables larger than the small ones: keys beyond those of sf0.1, and what is sent, shuffled or kept."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quire import registry
+from quire.operators import resolving
 from tests.test_queries import SF, TABLES, rows
+from tests.test_resolving import one_by_one, plain, same
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +32,22 @@ def test_rejected_mentions_of_far_keys(spark, far_keys):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(registry.ORACLE_SQL["rejected_mentions"])
     assert got == rows([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_vectors_of_a_batch_stay_off_the_driver(spark, monkeypatch):
+    """In several runs and blocks, a batch goes as one by one, and no vectors of names are collected."""
+    draw = random.Random(3)
+    vector = lambda: [round(draw.gauss(0, 1), 3) for _ in range(3)]
+    concepts = [(100 + k, f"Concept {k}", vector()) for k in range(2)]
+    names = [(i, draw.choice([f"name {i}", f"Name-{i // 3}"]), vector()) for i in range(90)]
+    monkeypatch.setattr(resolving, "RUN", 25, raising=False)
+    monkeypatch.setattr(resolving.near_pairs, "__defaults__", (16,))
+    sent, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: sent.append((df.columns, collect(df))) or sent[-1][1])
+    got = resolving.resolve(
+        spark.createDataFrame(names, "name_id long, name string, vector array<double>"), spark.createDataFrame(concepts, "concept_id long, name string, vector array<double>"),
+        spark.createDataFrame([], "concept_id long, alias string"), same, 0.97, 0.8,
+    )
+    assert [(c, len(r)) for c, r in sent if "vector" in c and len(r) > len(concepts)] == []
+    found = collect(got)
+    assert plain((r.name_id, r.concept, r.rule, r.score) for r in found) == plain(one_by_one(names, concepts, [], 0.97, 0.8))
