@@ -1,7 +1,12 @@
 """Building training sets: gates, exact duplicates, rarity-scaled plans, agreement of answers, counts of the outcome."""
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions.latex import renders
 from quire.functions.markdown import prose
@@ -62,16 +67,27 @@ def word_match(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, a_in_b, b_in_a): shares of the words of one text that the other has as often, to three places.
 
     texts: (doc_id, text); pairs: (id, a, b), with the ids of two texts. Both empty match fully, one empty not at all.
-    Each text is cut into words once, and only counts of words are shuffled."""
-    bag = texts.select("doc_id", F.explode(words("text")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    size = bag.groupBy("doc_id").agg(F.sum("n").alias("n"))
-    of = lambda df, c: df.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}{c}" if x == "n" else x) for x in df.columns if x != "doc_id"))
-    both = pairs.join(of(bag, "a"), "a").join(of(bag, "b"), ["b", "w"]).groupBy("id").agg(F.sum(F.least("na", "nb")).alias("both"))
-    rows = pairs.join(of(size, "a"), "a", "left").join(of(size, "b"), "b", "left").join(both, "id", "left")
-    share = lambda n: F.when(F.col("na").isNull() & F.col("nb").isNull(), 1.0).when(F.col(n).isNull(), 0.0).otherwise(F.round(F.coalesce("both", F.lit(0)) / F.col(n), 3))
+    A text is cut into words once, and its words are shuffled as one string; two of them meet in one row."""
+    own = texts.select("doc_id", words("text").alias("w")).where(F.size("w") > 0)
+    bag = own.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list(F.array_join("w", " "))).alias("w"), F.sum(F.size("w")).alias("n"))
+    of = lambda c: bag.select(F.col("doc_id").alias(c), F.col("w").alias(f"w{c}"), F.col("n").alias(f"n{c}"))
+    rows = in_both(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("id", "na", "nb", "wa", "wb"))
+    share = lambda n: F.when(F.col("na").isNull() & F.col("nb").isNull(), 1.0).when(F.col(n).isNull(), 0.0).otherwise(F.round(F.col("both") / F.col(n), 3))
     return rows.select("id", share("na").alias("a_in_b"), share("nb").alias("b_in_a"))
 
 
+def in_both(rows: DataFrame) -> DataFrame:
+    """rows without `wa` and `wb`, but with `both`: how many words these share, each as often as both have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)
+            both = [(Counter(a.split(" ")) & Counter(b.split(" "))).total() if a and b else 0 for a, b in pairs]
+            yield batch.drop_columns(["wa", "wb"]).append_column("both", pa.array(both, pa.int64()))
+
+    return rows.mapInArrow(run, StructType(rows.drop("wa", "wb").schema.fields).add("both", "long"))
+
+
 def rarity(mentions: DataFrame, sections: DataFrame, low: float = 0.5, high: float = 3.0) -> DataFrame:
     """(section, factor): how rare a section's concepts are. The typical count is the median over all pairs of a
     training section and a concept; the factor is the median of typical / count, kept within bounds, 1 without concepts.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
 from quire import registry
-from quire.operators import resolving
+from quire.operators import dataset, resolving
 from tests.test_queries import SF, TABLES, rows
 from tests.test_resolving import one_by_one, plain, same
 
@@ -51,3 +51,13 @@ def test_vectors_of_a_batch_stay_off_the_driver(spark, monkeypatch):
     assert [(c, len(r)) for c, r in sent if "vector" in c and len(r) > len(concepts)] == []
     found = collect(got)
     assert plain((r.name_id, r.concept, r.rule, r.score) for r in found) == plain(one_by_one(names, concepts, [], 0.97, 0.8))
+
+
+def test_word_match_shuffles_no_row_for_each_word(spark):
+    """Bags of words go as one string each; repeated, absent and empty texts count as before."""
+    texts = spark.createDataFrame([(1, "A b, b c"), (2, "b B b a­ d"), (3, None), (4, " .. "), (5, "c"), (5, "c b")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 3, 4), (4, 4, 5), (5, 5, 1), (6, 9, 1)], "id long, a long, b long")
+    got = dataset.word_match(texts, pairs)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(1, 0.5, 0.5), (2, 0.5, 0.5), (3, 1.0, 1.0), (4, 0.0, 0.0), (5, 0.667, 0.5), (6, 0.0, 0.0)]
+    assert sorted(map(tuple, got.collect())) == want
