@@ -1,9 +1,12 @@
 """Sections of a document: cut at headings where a part is too long, short ones joined, long ones split between blocks.
 
-A document's blocks (a chapter's, so not many) are one group; each step is a fold over them in reading order."""
+A document's blocks (a chapter's, so not many) are one row; each step is a fold over them in reading order."""
+
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The most and the least estimated tokens of a section.
 MOST, LEAST = 8_000, 500
@@ -80,19 +83,23 @@ def cut(blocks: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     kinds = [("doc_id", pa.int64()), ("section", pa.int32()), ("part", pa.int32()), ("place", pa.int32()), ("position", pa.int32()), ("parts", pa.int32()), ("path", pa.list_(pa.int32()))]
     schema = pa.schema(kinds)
 
-    def run(rows: pa.Table) -> pa.Table:
-        own = sorted(rows.to_pylist(), key=lambda r: r["position"])
-        paths, tokens = [tuple(r["path"] or ()) for r in own], [r["tokens"] for r in own]
-        out = []
-        for s, (path, blocks) in enumerate(joined(runs_of(paths, tokens, most), tokens, least)):
-            parts = parts_of(blocks, tokens, [r["with_next"] for r in own], most)
-            for p, part in enumerate(parts):
-                part = sorted(part, key=lambda b: own[b]["lone_note"])
-                out += [(own[b]["doc_id"], s, p, k, own[b]["position"], len(parts), list(path)) for k, b in enumerate(part)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
-    rows = blocks.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(position AS INT) AS position", "path", "CAST(tokens AS BIGINT) AS tokens", "with_next", "lone_note")
-    return rows.groupBy("doc_id").applyInArrow(run, "doc_id long, section int, part int, place int, position int, parts int, path array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, position, path, tokens, with_next, lone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                paths = [tuple(p or ()) for p in path]
+                for s, (name, blocks) in enumerate(joined(runs_of(paths, tokens, most), tokens, least)):
+                    parts = parts_of(blocks, tokens, with_next, most)
+                    for p, part in enumerate(parts):
+                        part = sorted(part, key=lambda b: lone[b])
+                        out += [(doc, s, p, k, position[b], len(parts), list(name)) for k, b in enumerate(part)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    # A row for each document, as a call of Python for each would take longer than the fold.
+    fields = ["CAST(position AS INT) AS position", "path", "CAST(tokens AS BIGINT) AS tokens", "with_next", "lone_note"]
+    rows = blocks.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"struct({', '.join(fields)}) AS b").groupBy("doc_id").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    return rows.select("doc_id", "b.position", "b.path", "b.tokens", "b.with_next", "b.lone_note").mapInArrow(run, "doc_id long, section int, part int, place int, position int, parts int, path array<int>")
 
 
 def sections(blocks: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:

@@ -14,6 +14,7 @@ from quire.functions.text import estimated_tokens, fence, inline_math, joined_cu
 from quire.operators import cutting
 from quire.operators.passages import FIGURE_NOTE
 from quire.operators.pieces import KEY, attached_footnotes, bridged_lead_ins, footnote_links, in_paragraphs, in_reading_order, lead_ins, paragraphs, sections
+from quire.sources import lineage
 
 #: Stands before the words printed in a figure, at the end of its explanation.
 PRINTED = "\n\nText printed in the figure: "
@@ -83,8 +84,16 @@ def blocks(pieces: DataFrame) -> DataFrame:
     chapter's blocks from position 0. A footnote follows the first text that shows its mark and lies under that text's
     headings; one that no text shows stays where it is, alone. with_next: a text that leads into a formula stays with all
     blocks up to it."""
-    whole = pieces.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in pieces.columns})
-    own = with_paths(whole)
+    return blocks_of(read_with_paths(pieces))
+
+
+def read_with_paths(pieces: DataFrame) -> DataFrame:
+    """with_paths() of pieces with all their columns, written, as each step from there reads them again."""
+    return lineage.written(with_paths(pieces.withColumns({c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in pieces.columns})))
+
+
+def blocks_of(own: DataFrame) -> DataFrame:
+    """blocks() of read_with_paths()."""
     texts = in_paragraphs(own)
     parts = F.sort_array(F.collect_list(F.struct("page", "number", inline_math("content").alias("text"))))
     paths = F.min_by("path", F.struct("page", "number"))
@@ -135,10 +144,10 @@ def section_records(pieces: DataFrame, titles: DataFrame, most: int = cutting.MO
     each part of a section. images: struct<ref, pos>, pos being the characters of the text before the figure's note.
 
     titles: (doc_id, slug, media, title); a document named as its media says the name once."""
-    whole = pieces if "printed_number" in pieces.columns else pieces.withColumn("printed_number", F.lit(None).cast("string"))
-    made = blocks(whole)
-    cut = cutting.cut(made.select("doc_id", "position", "path", "tokens", "with_next", "lone_note"), most, least)
-    saved = with_paths(whole).where("kind = 'heading'").select("doc_id", "heading", F.concat_ws(" ", "printed_number", "content").alias("saved"))
+    own = read_with_paths(pieces)
+    made = lineage.written(blocks_of(own))
+    cut = lineage.written(cutting.cut(made.select("doc_id", "position", "path", "tokens", "with_next", "lone_note"), most, least))
+    saved = own.where("kind = 'heading'").select("doc_id", "heading", F.concat_ws(" ", "printed_number", "content").alias("saved"))
     parts = cut.where("place = 0").select("doc_id", "section", "part", "parts", "path")
     names = parts.select("doc_id", "section", "part", F.posexplode("path").alias("depth", "heading")).join(saved, ["doc_id", "heading"])
     names = names.groupBy("doc_id", "section", "part").agg(F.sort_array(F.collect_list(F.struct("depth", "saved")))["saved"].alias("section_path"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
 from quire import registry
-from quire.operators import dataset, resolving
+from quire.operators import cutting, dataset, resolving
 from tests.test_queries import SF, TABLES, rows
 from tests.test_resolving import one_by_one, plain, same
 
@@ -61,3 +61,13 @@ def test_word_match_shuffles_no_row_for_each_word(spark):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = [(1, 0.5, 0.5), (2, 0.5, 0.5), (3, 1.0, 1.0), (4, 0.0, 0.0), (5, 0.667, 0.5), (6, 0.0, 0.0)]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_cut_calls_python_for_batches_and_records_make_blocks_once(spark):
+    rows = [(d, k, [1], 50, False, False) for d in range(3) for k in range(4)]
+    cut = cutting.cut(spark.createDataFrame(rows, "doc_id long, position int, path array<int>, tokens long, with_next boolean, lone_note boolean"), 100, 10)
+    assert "FlatMapGroups" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.section, r.part, r.place, r.position) for r in cut.collect()) == sorted((d, 0, k // 2, k % 2, k) for d in range(3) for k in range(4))
+    records = registry.QUERIES["section_records"](spark, SF)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "orders" not in plan
