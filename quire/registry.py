@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import catalogue, changes, dataset, graph, passages, retrieval, vectors
 from quire.plans import caps
-from quire.sources import table
+from quire.sources import lineage, table
 from quire.sources.library import SQL, library
 
 QUERIES: dict = {}
@@ -433,11 +433,11 @@ def sections(lib):
     return lib.document.select(F.col("doc_id").alias("section"), (F.col("doc_id") % 10 == 0).alias("heldout"))
 
 
-def seeds(lib):
+def seeds(lib, m=None):
     """The relations that texts of training sections are made on: those that an item of a training section states."""
+    m = mentioned(lib) if m is None else m
     training = sections(lib).where(~F.col("heldout")).select("section")
     own = lib.item.join(training, F.col("doc_id") == F.col("section")).select("item_id")
-    m = mentioned(lib)
     counts = m.groupBy("concept_id").agg(F.sum("n").alias("count"))
     return dataset.relation_seeds(lib.relation.join(own, "item_id", "left_semi"), m.join(training, "section", "left_semi"), counts)
 
@@ -536,8 +536,8 @@ def mentioned(lib):
     return graph.located(lib).groupBy(F.col("doc_id").alias("section"), "concept_id").agg(F.count("*").alias("n"))
 
 
-def factors(lib):
-    return dataset.rarity(mentioned(lib), sections(lib))
+def factors(lib, m=None):
+    return dataset.rarity(mentioned(lib) if m is None else m, sections(lib))
 
 
 @query(RARITY + "SELECT section, heldout, round(factor, 9) AS factor FROM factors")
@@ -576,8 +576,11 @@ def plan_totals(lib, spark, sf_dir):
         SELECT s.section, 5, 'entigraph', 1, 1, place, from_id, to_id, type FROM seeded s JOIN planned p ON s.section = p.section WHERE place <= entigraph)
     SELECT section, kind, passage, version, coalesce(place, version) AS number, section || ':' || kind || ':' || coalesce(place, version) AS id, from_id, to_id, type, CAST(row_number() OVER (PARTITION BY section ORDER BY pos, coalesce(place, version)) AS INTEGER) AS draft FROM each""")
 def draft_ids(lib, spark, sf_dir):
-    placed = dataset.relation_passages(seeds(lib), lib.concept.select("concept_id", "name"), section_passages(spark, sf_dir))
-    return dataset.drafts(planned(lib, spark, sf_dir), placed)
+    # What several steps read is made once.
+    m = lineage.written(mentioned(lib))
+    told, read = lineage.written(seeds(lib, m)), lineage.written(section_passages(spark, sf_dir))
+    placed = dataset.relation_passages(told, lib.concept.select("concept_id", "name"), read)
+    return dataset.drafts(lineage.written(dataset.section_plan(factors(lib, m), told, read)), placed)
 
 
 @query(RARITY + """SELECT a.section, from_id, to_id, type, CAST(row_number() OVER (PARTITION BY a.section ORDER BY least(ca.total, cb.total), from_id, to_id, type) AS INTEGER) AS place

@@ -71,3 +71,8 @@ def test_a_cut_calls_python_for_batches_and_records_make_blocks_once(spark):
     records = registry.QUERIES["section_records"](spark, SF)
     plan = records._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" not in plan and "orders" not in plan
+
+
+def test_draft_ids_make_mentions_once(spark):
+    plan = registry.QUERIES["draft_ids"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(c in plan for c in ("l_orderkey", "o_orderkey", "InArrow"))
